@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, spans, splits, text_forms, tokens
+from . import consensus, defects, mixing, overlap, spans, splits, text_forms, tokens
 from .common import table
 
 
@@ -15,6 +15,30 @@ def _shares(spark: SparkSession, d: str) -> dict[str, float]:
     return {r.split: float(r.share) for r in table(spark, d, "split_targets").where("split IS NOT NULL AND share > 0").collect()}
 
 
+def _overlaps(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.overlaps(table(spark, d, "test"), table(spark, d, "train"), "test_id", "urdu", "train_id", "src")
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return _overlaps(spark, d).select(F.col("a").alias("test_id"), F.col("b").alias("train_id"))
+
+
+def p1_report(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.report(table(spark, d, "test"), _overlaps(spark, d))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return consensus.consensus(table(spark, d, "translit_results"), table(spark, d, "translit_items")).drop("chance")
+
+
+def p2_agreement(spark: SparkSession, d: str) -> DataFrame:
+    return consensus.agreement(table(spark, d, "translit_results"), table(spark, d, "translit_items"))
+
+
+def p2_reliability(spark: SparkSession, d: str) -> DataFrame:
+    return consensus.reliability(table(spark, d, "translit_results"), table(spark, d, "translit_items"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return splits.same_group_names(table(spark, d, "teacher_labels"))
 
@@ -47,6 +71,10 @@ def p4_canonical(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return defects.defects(table(spark, d, "teacher_labels"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, d, "documents"))
 
