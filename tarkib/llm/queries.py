@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import consensus, defects, mixing, overlap, spans, splits, text_forms, tokens
+from . import consensus, defects, mixing, overlap, scans, spans, splits, text_forms, tokens
 from .common import table
 
 
@@ -71,6 +71,14 @@ def p4_canonical(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return scans.found(table(spark, d, "ocr_lines"), table(spark, d, "ocr_results"), table(spark, d, "dictionary"))
+
+
+def p5_pages(spark: SparkSession, d: str) -> DataFrame:
+    return scans.pages(table(spark, d, "ocr_lines"), table(spark, d, "ocr_results"), table(spark, d, "dictionary"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return defects.defects(table(spark, d, "teacher_labels"))
 
