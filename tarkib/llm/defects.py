@@ -16,6 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import canon, cut, letters
 from .reading import likeness, skeletons
@@ -140,28 +141,31 @@ def bands(opening: str) -> list[int]:
     return out.view(np.int64).tolist()
 
 
-@F.pandas_udf("array<long>")
+@F.pandas_udf(T.ArrayType(T.LongType()))
 def _bands(s: pd.Series) -> pd.Series:
     return pd.Series([bands(x) for x in s], dtype=object)
 
 
-@F.pandas_udf("boolean")
-def _similar(a: pd.Series, b: pd.Series) -> pd.Series:
-    out = []
-    for x, y in zip(a, b, strict=True):
-        p, q = _shingles(x), _shingles(y)
-        both = len(np.intersect1d(p, q))
-        out.append(both >= SIMILAR * (len(p) + len(q) - both))
-    return pd.Series(out, dtype=bool)
+def _link(band: pd.DataFrame) -> pd.DataFrame:
+    """Verified links of one band: an opening is tried with every head so far and heads a cluster itself if it is
+    like none of them."""
+    heads: list[tuple[str, set[int]]] = []
+    rows = []
+    for x in sorted(set(band["opening"])):
+        p = set(_shingles(x).tolist())
+        like = [h for h, q in heads if (n := len(p & q)) >= SIMILAR * (len(p) + len(q) - n)]
+        rows += [(x, h) for h in like]
+        if not like:
+            heads.append((x, p))
+    return pd.DataFrame(rows, columns=["opening", "first"])
 
 
 def clusters(openings: DataFrame) -> DataFrame:
-    """(opening, cluster) of distinct openings: connected by verified links to the least opening of each band,
-    labels spread until none changes."""
+    """(opening, cluster) of distinct openings: connected by verified links to the heads of each band, labels spread
+    until none changes."""
     flat = openings.select("opening", F.explode(_bands("opening")).alias("band"))
-    least = flat.groupBy("band").agg(F.min("opening").alias("first"), F.max("opening").alias("last")).where("first <> last")
-    links = flat.join(least.select("band", "first"), "band").where("opening <> first").select("opening", "first").distinct()
-    links = cut(links.where(_similar("opening", "first")))
+    several = flat.groupBy("band").agg(F.min("opening").alias("first"), F.max("opening").alias("last")).where("first <> last").select("band")
+    links = cut(flat.join(several, "band").groupBy("band").applyInPandas(_link, "opening string, first string").distinct())
     both = cut(links.unionByName(links.select(F.col("first").alias("opening"), F.col("opening").alias("first"))))
     labels = openings.withColumn("cluster", F.col("opening"))
     while True:

@@ -1,0 +1,22 @@
+import sys
+from pathlib import Path
+
+import pandas as pd
+import pytest
+
+sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+
+
+@pytest.fixture(scope="module")
+def spark():
+    from pyspark.sql import SparkSession
+
+    return SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "4").getOrCreate()
+
+
+def test_stranger_at_the_head_of_a_band(spark):
+    from tarkib.llm import defects
+
+    one, two = "please choose some other line of text today", "please choose some other line of text todays"
+    band = pd.DataFrame({"opening": ["a wholly different opening that comes first", one, two]})
+    assert defects._link(band).values.tolist() == [[two, one]]
