@@ -25,6 +25,9 @@ from .reading import likeness, skeletons
 READING = 0.7
 #: Prompts that an opening must answer to be a template, least likeness of openings, words of an opening.
 PROMPTS = 3
+#: Least share of the open answers of its verdict that a template without a declining phrase makes up: of a template
+#: it stays as the table grows.
+SHARE = 0.01
 SIMILAR = 0.8
 OPENING = 8
 BANDS, ROWS = 10, 3
@@ -176,6 +179,25 @@ def clusters(openings: DataFrame) -> DataFrame:
             return labels
 
 
+def reading_openings(candidates: list[str], prompts: DataFrame) -> set[str]:
+    """Those of a few openings that read the start of one of the ``prompts``: readings of another text, no templates."""
+    sought = [(x, f) for x in candidates if len(f := "".join(skeletons(x))) >= 4]
+    if not sought:
+        return set()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            hit = set()
+            for ur in b["ur"]:
+                start = "".join(skeletons(ur)[:OPENING])
+                for x, f in sought:
+                    if min(len(f), len(start)) >= READING * max(len(f), len(start)) and likeness(f, start) >= READING:
+                        hit.add(x)
+            yield pd.DataFrame({"opening": sorted(hit)}, dtype=object)
+
+    return {r.opening for r in prompts.where("ur IS NOT NULL").select("ur").distinct().mapInPandas(run, "opening string").distinct().collect()}
+
+
 _JUDGED = "label_id long, field string, verdict string, opening string, prompt string, declines boolean"
 
 
@@ -201,11 +223,22 @@ def defects(labels: DataFrame) -> DataFrame:
     pending = judged.where("opening IS NOT NULL")
     named = clusters(pending.select("opening").distinct())
     told = pending.join(named, "opening")
-    # one prompt counts once, and only so many as make a template are kept of each cluster and script
-    support = told.groupBy("cluster").agg(F.countDistinct("prompt").alias("prompts"), F.max("declines").alias("cued"))
-    template = (F.col("prompts") >= PROMPTS) & (F.col("cued") | (F.col("verdict") == "?"))
+    told = cut(told)
+    # one prompt counts once
+    support = told.groupBy("cluster", "verdict").agg(F.countDistinct("prompt").alias("prompts"), F.count("*").alias("answers"), F.min("opening").alias("shown"))
+    cued = told.groupBy("cluster").agg(F.countDistinct("prompt").alias("all_prompts"), F.max("declines").alias("cued"))
+    total = told.groupBy("verdict").agg(F.count("*").alias("total"))
+    uncued = support.join(cued, "cluster").join(total, "verdict").where(~F.col("cued") & (F.col("prompts") >= PROMPTS) & (F.col("answers") >= SHARE * F.col("total")))
+    # at most 1 / SHARE of each verdict
+    found = {(r.cluster, r.verdict): r.shown for r in uncued.collect()}
+    reads = reading_openings(sorted(set(found.values())), rows)
+    new = [k for k, x in found.items() if x not in reads]
+    recurs = F.lit(False)
+    for verdict in "?":
+        recurs = recurs | (F.col("verdict") == verdict) & F.col("cluster").isin([c for c, v in new if v == verdict])
+    template = (F.col("all_prompts") >= PROMPTS) & F.col("cued") | recurs
     kind = F.when(F.col("declines") | template, "refusal").when(F.col("verdict") == "!", "language").otherwise("unrelated")
-    opened = told.join(support, "cluster").select("label_id", "field", kind.alias("defect"))
+    opened = told.join(cued, "cluster").select("label_id", "field", kind.alias("defect"))
     plain = judged.where("opening IS NULL").select("label_id", "field", F.col("verdict").alias("defect"))
     best = plain.unionByName(opened).groupBy("label_id").agg(F.max(F.struct("field", "defect")).alias("x"))
     return best.select("label_id", "x.field", "x.defect")

@@ -20,3 +20,19 @@ def test_stranger_at_the_head_of_a_band(spark):
     one, two = "please choose some other line of text today", "please choose some other line of text todays"
     band = pd.DataFrame({"opening": ["a wholly different opening that comes first", one, two]})
     assert defects._link(band).values.tolist() == [[two, one]]
+
+
+LINES = ["باغ میں پھول کھلتے ہیں", "دریا کے کنارے شہر ہے", "رات بہت سرد تھی", "وہ کتاب پڑھتا ہے", "سمندر نیلا اور گہرا", "بچہ دوڑتا ہوا گیا"]
+WRONG = "सबज़ जंगल पुराना रासता दूर तक"
+
+
+def verdicts(spark, hi):
+    from tarkib.llm import defects
+
+    rows = [(n, ur, hi, None) for n, ur in enumerate(LINES)] + [(99, "سبز جنگل پرانا راستہ دور تک", WRONG, "سبز جنگل پرانا راستہ دور تک")]
+    labels = spark.createDataFrame(rows, "label_id long, ur string, hi string, back string")
+    return {r.label_id: r.defect for r in defects.defects(labels).collect()}
+
+
+def test_a_wrong_reading_given_often_is_no_refusal(spark):
+    assert verdicts(spark, WRONG) == dict.fromkeys(range(6), "unrelated")
