@@ -234,7 +234,7 @@ def defects(labels: DataFrame) -> DataFrame:
     reads = reading_openings(sorted(set(found.values())), rows)
     new = [k for k, x in found.items() if x not in reads]
     recurs = F.lit(False)
-    for verdict in "?":
+    for verdict in "?!":
         recurs = recurs | (F.col("verdict") == verdict) & F.col("cluster").isin([c for c, v in new if v == verdict])
     template = (F.col("all_prompts") >= PROMPTS) & F.col("cued") | recurs
     kind = F.when(F.col("declines") | template, "refusal").when(F.col("verdict") == "!", "language").otherwise("unrelated")

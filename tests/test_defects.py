@@ -36,3 +36,7 @@ def verdicts(spark, hi):
 
 def test_a_wrong_reading_given_often_is_no_refusal(spark):
     assert verdicts(spark, WRONG) == dict.fromkeys(range(6), "unrelated")
+
+
+def test_a_template_in_a_wrong_script_without_a_listed_phrase(spark):
+    assert verdicts(spark, "Please send a different text to me instead") == dict.fromkeys(range(6), "refusal")
