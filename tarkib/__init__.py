@@ -1 +1,5 @@
-"""tarkib: a Spark-native engine for multi-script text data (normalise, look up, vote, align, score)."""
+"""tarkib: to be a Spark-native engine for multi-script text data (normalise, look up, vote, align, score).
+
+So far only the training-data operators of ``tarkib.llm`` exist; ``functions``, ``operators``, ``plans``, ``sources``
+and ``streaming`` are empty, and there is no pipeline.
+"""
