@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import cut, letters, words
 
@@ -27,7 +28,10 @@ BITS = 1 << 22
 LONG = 20
 
 
-@F.pandas_udf("struct<key:string,words:int>")
+_KEYED = T.StructType([T.StructField("key", T.StringType()), T.StructField("words", T.IntegerType())])
+
+
+@F.pandas_udf(_KEYED)
 def _keyed(s: pd.Series) -> pd.DataFrame:
     rows = [(letters(x), len(words(x))) if isinstance(x, str) else (None, 0) for x in s]
     return pd.DataFrame(rows, columns=["key", "words"])
