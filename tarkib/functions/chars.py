@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import sys
-import unicodedata
-from functools import lru_cache
-
 # --- Fixed values: Unicode and Urdu letter facts -----------------------------------------------
 TATWEEL, ZWNJ, ZWJ, LRM, RLM = "ـ", "‌", "‍", "‎", "‏"
 ZER, SHADDA, SUKUN, KHARI_ZABAR, HAMZA_ABOVE, TAKHALLUS = "ِ", "ّ", "ْ", "ٰ", "ٔ", "ؔ"
@@ -48,20 +44,11 @@ def pair(folds: dict[str, str]) -> tuple[str, str]:
     return "".join([*kept, *gone]), "".join(kept.values())
 
 
-@lru_cache(maxsize=1)
-def may_compose() -> str:
-    """Body of a regex class of all characters whose NFC quick check isn't Yes: combining or decomposing ones."""
-    runs: list[list[int]] = []
-    for cp in range(0x80, sys.maxunicode + 1):
-        ch = chr(cp)
-        if 0xD800 <= cp < 0xE000 or not (unicodedata.combining(ch) or unicodedata.decomposition(ch) or 0x1160 <= cp < 0x1200 or cp in _JOINERS):
-            continue
-        if runs and cp == runs[-1][1] + 1:
-            runs[-1][1] = cp
-        else:
-            runs.append([cp, cp])
-    return "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in runs)
-
-
-#: Characters of combining class 0 that compose with the one before them.
-_JOINERS = {0x09BE, 0x09D7, 0x0B3E, 0x0B56, 0x0B57, 0x0BBE, 0x0BD7, 0x0CC2, 0x0CD5, 0x0CD6, 0x0D3E, 0x0D57, 0x0DCF, 0x0DDF, 0x102E, 0x1B35}
+#: Ranges of the scripts met most whose characters never change in composition (NFC). Anything else, marks above all,
+#: may, and is looked at; the ranges only save work. A test holds them against Unicode.
+STABLE = [
+    (0x0000, 0x02FF), (0x0370, 0x0373), (0x0388, 0x0482), (0x060C, 0x060F), (0x061B, 0x064A), (0x0660, 0x066F), (0x0671, 0x06D5), (0x06EE, 0x06FF), (0x0750, 0x077F),
+    (0x0904, 0x093B), (0x093D, 0x094C), (0x0960, 0x097F), (0x200B, 0x2060), (0x3001, 0x3029), (0x4E00, 0x9FFF), (0xFE70, 0xFEFF), (0x1F300, 0x1FAFF),
+]
+#: A character outside of these.
+MAY_COMPOSE = "[^" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in STABLE) + "]"

@@ -28,12 +28,12 @@ def _nfd(s: pd.Series) -> pd.Series:
 
 
 def nfc(c: Column) -> Column:
-    touched = c.rlike(f"[{C.may_compose()}]")
+    touched = c.rlike(C.MAY_COMPOSE)
     return F.when(touched, _nfc(F.when(touched, c))).otherwise(c)
 
 
 def nfd(c: Column) -> Column:
-    touched = c.rlike(f"[{C.may_compose()}]")
+    touched = c.rlike(r"[^\x00-\x7F]")
     return F.when(touched, _nfd(F.when(touched, c))).otherwise(c)
 
 

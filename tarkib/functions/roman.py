@@ -426,7 +426,7 @@ _SUN = {
 }
 
 
-def article(urdu: str, rest: tuple[str | None, str, str] | None, after_word: bool) -> tuple[str | None, str, str] | None:
+def article(urdu: str, rest: tuple[str | None, str | None, str | None] | None, after_word: bool) -> tuple[str | None, str | None, str | None] | None:
     """A word with the Arabic article from the readings of the word without it (Devanagari, plain, marked): the l
     becomes a sun letter; the vowel is u after a word, else a."""
     if rest is None or not urdu.startswith("ال") or len(urdu) < 4:
@@ -434,7 +434,7 @@ def article(urdu: str, rest: tuple[str | None, str, str] | None, after_word: boo
     consonant, letter = _SUN.get(urdu[2], ("l", "ल"))
     vowel, sign = ("u", "उ") if after_word else ("a", "अ")
     deva, plain, marked = rest
-    return (f"{sign}{letter}-{deva}" if deva else None, f"{vowel}{consonant}-{plain}", f"{vowel}{consonant}-{marked}")
+    return (f"{sign}{letter}-{deva}" if deva else None, f"{vowel}{consonant}-{plain}" if plain else None, f"{vowel}{consonant}-{marked}" if marked else None)
 
 
 def article_after_word(entry: tuple[str, str, str]) -> tuple[str, str, str]:

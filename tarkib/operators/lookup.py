@@ -160,13 +160,18 @@ READ = ("devanagari", "roman", "roman_marked")
 
 def _joined(parts: DataFrame, row_id: str, columns: Iterable[str]) -> DataFrame:
     packed = parts.groupBy(row_id).agg(F.sort_array(F.collect_list(F.struct("pos", *columns))).alias("p"))
-    return packed.select(row_id, *[F.array_join(F.transform("p", lambda x, c=c: x[c]), "").alias(c) for c in columns])
+
+    def texts(c: str) -> Column:
+        return F.array_join(F.transform("p", lambda x: x[c]), "").alias(c)
+
+    return packed.select(row_id, *[texts(c) for c in columns])
 
 
 def transliterate(df: DataFrame, row_id: str, column: str, tables: Sequence[tuple[str, DataFrame]], oov: Column | None = None) -> DataFrame:
     """(id, devanagari, roman, roman_marked) of every text: words through the tiers, the rest by ``oov``, a column
     over ``key`` that gives a struct of the three (letter rules by default); punctuation by script, all else as it
-    is. ``tables``: (key by ``rule_key``, the three columns). NULL texts give NULL, '' gives ''.
+    is. ``tables``: (key by ``rule_key``, the three columns); a NULL among them is made from the others or by ``oov``.
+    NULL texts give NULL, '' gives ''.
 
     Each distinct word is looked up and read once, then joined back."""
     clean = df.select(F.col(row_id), normalize.rule_text(F.col(column)).alias("_t"))
@@ -174,9 +179,11 @@ def transliterate(df: DataFrame, row_id: str, column: str, tables: Sequence[tupl
     keys = t.where("key IS NOT NULL").select("key").distinct()
     known = tiered(keys, tables, READ)
     read = letters.read_letters("key") if oov is None else oov
-    hit = known.where("tier <> 'none'").select("key", *READ)
-    missed = known.where("tier = 'none'").select("key", read.alias("r")).select("key", *[F.col(f"r.{c}").alias(c) for c in READ])
-    out = t.join(hit.unionByName(missed), "key", "left")
+    whole = F.col("devanagari").isNotNull() & F.col("roman").isNotNull() & F.col("roman_marked").isNotNull()
+    hit = known.where(whole).select("key", *READ)
+    partly = known.where(~whole).select("key", *READ, read.alias("r"), marked_by_rule("key", "devanagari", "roman")["roman_marked"].alias("m"))
+    filled = {"devanagari": F.coalesce("devanagari", "r.devanagari"), "roman": F.coalesce("roman", "r.roman"), "roman_marked": F.coalesce("roman_marked", "m", "r.roman_marked")}
+    out = t.join(hit.unionByName(partly.select("key", *[v.alias(c) for c, v in filled.items()])), "key", "left")
 
     def shown(c: str) -> Column:
         table = C.PUNCT_DEVA if c == "devanagari" else C.PUNCT_ROMAN

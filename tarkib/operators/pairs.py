@@ -146,7 +146,11 @@ def id_zip(lines: DataFrame, keep: Sequence[str]) -> DataFrame:
 def compound_parts(units: DataFrame) -> DataFrame:
     """(ur, hi, roman) of the words of a compound, where the parts of all scripts line up once izafat parts are gone."""
     ur = F.split("ur", " ")
-    hi, ro = (F.filter(F.split(c, "-"), lambda x, e=e: (x != "") & (x != e)) for c, e in (("hi", "ए"), ("roman", "e")))
+
+    def parts(c: str, izafat: str) -> Column:
+        return F.filter(F.split(c, "-"), lambda x: (x != "") & (x != izafat))
+
+    hi, ro = parts("hi", "ए"), parts("roman", "e")
     named = units.select(ur.alias("ur"), hi.alias("hi"), ro.alias("roman")).where("size(ur) > 1 AND size(ur) = size(hi) AND size(ur) = size(roman)")
     return named.select(F.explode(F.arrays_zip("ur", "hi", "roman")).alias("z")).select("z.ur", "z.hi", "z.roman")
 

@@ -12,10 +12,11 @@ from ..functions.normalize import ocr_text
 from ..functions.text import words
 
 
-def pair_scores(ref: Column, hyp: Column) -> dict[str, Column]:
-    """Character and word error rates, raw and of the OCR-normalised texts."""
-    a, b = ocr_text(ref), ocr_text(hyp)
-    return {"cer": metrics.cer(ref, hyp), "wer": metrics.wer(ref, hyp), "cer_norm": metrics.cer(a, b), "wer_norm": metrics.wer(a, b)}
+def pair_scores(rows: DataFrame, ref: str, hyp: str) -> DataFrame:
+    """``rows`` with character and word error rates, raw and of the OCR-normalised texts."""
+    made = rows.withColumn("_ref", ocr_text(F.col(ref))).withColumn("_hyp", ocr_text(F.col(hyp)))
+    named = {"cer": metrics.cer(F.col(ref), F.col(hyp)), "wer": metrics.wer(F.col(ref), F.col(hyp)), "cer_norm": metrics.cer(F.col("_ref"), F.col("_hyp")), "wer_norm": metrics.wer(F.col("_ref"), F.col("_hyp"))}
+    return made.select(*rows.columns, *[F.round(v, 6).alias(k) for k, v in named.items()])
 
 
 def errors(ref: Column, hyp: Column) -> Column:

@@ -58,7 +58,7 @@ def poem_chunks(lines: DataFrame, poem: str, order: str, line: str, full: int =
 
     def run(df: pd.DataFrame) -> pd.DataFrame:
         chunks = stanza_chunks(list(df.sort_values(order)[line]), full)
-        got = pd.DataFrame({"chunk": range(len(chunks)), "lines": chunks})
+        got = pd.DataFrame({"chunk": pd.Series(range(len(chunks)), dtype="int32"), "lines": pd.Series(chunks, dtype=object)})
         got.insert(0, poem, df[poem].iloc[0])
         return got
 

@@ -28,7 +28,7 @@ def separated(spark: SparkSession, path: str, columns: Sequence[str], separator:
     """Columns of a separated file, trimmed and composed. Lines that begin with #, blank ones and those with fewer than
     ``needed`` columns or an empty one among them are left out; columns beyond are NULL where a line has none."""
     needed = len(columns) if needed is None else needed
-    parts = F.transform(F.split("value", "\\Q" + separator + "\\E", -1), F.trim)
+    parts = F.transform(F.split("value", "\\Q" + separator + "\\E", -1), lambda x: F.trim(x))
     rows = _lines(spark, path, optional).where(~F.col("value").startswith("#")).select(parts.alias("p"))
     rows = rows.where((F.size("p") >= needed) & ~F.exists(F.slice("p", 1, needed), lambda x: x == ""))
     return rows.select(*[normalize.nfc(F.get("p", i)).alias(c) for i, c in enumerate(columns)])

@@ -27,7 +27,7 @@ def dictionary_tsv(df: DataFrame, path: str, columns: Sequence[str], count: str)
 def training_rows(df: DataFrame, weight: str = "weight", most: float = 4.0) -> DataFrame:
     """(task, src, tgt, w): weights summed, capped and written with two digits."""
     got = df.groupBy("task", "src", "tgt").agg(F.sum(F.col(weight).cast("decimal(18,3)")).alias("w"))
-    return got.select("task", "src", "tgt", F.format_number(F.least(F.col("w"), F.lit(most).cast("decimal(18,3)")), 2).alias("w"))
+    return got.select("task", "src", "tgt", F.round(F.least(F.col("w"), F.lit(most).cast("decimal(18,3)")), 2).cast("decimal(6,2)").cast("string").alias("w"))
 
 
 def training_tsv(df: DataFrame, path: str, split: str) -> None:
