@@ -1 +1 @@
-"""Part of the tarkib engine."""
+"""Column expressions and Arrow UDFs over text: normal forms, folds, measures, readings, alignment, meter."""

@@ -1 +1 @@
-"""Part of the tarkib engine."""
+"""Transforms of DataFrames: lookups, votes, sets, sequences, pairs, layout, scores, ensembles, engines."""

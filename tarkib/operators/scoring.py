@@ -38,7 +38,7 @@ def macro(rows: DataFrame, by: Sequence[str], rates: Sequence[str]) -> DataFrame
 
 def micro(rows: DataFrame, by: str, errors_: str = "e") -> DataFrame:
     """(by, n, cer, wer, exact): rates of the summed errors for each value of ``by`` and, as 'all', for everything; a
-    NULL value is named 'none'."""
+    NULL value is named 'none'; no rows give none."""
     named = rows.select(F.coalesce(F.col(by), F.lit("none")).alias(by), F.col(f"{errors_}.*"))
     got = named.groupingSets([[by], []], by).agg(F.grouping(by).alias("_g"), F.count("*").alias("n"), *[F.sum(c).alias(c) for c in ("char_errors", "chars", "word_errors", "words", "exact")])
 

@@ -59,7 +59,7 @@ def score_macro(spark: SparkSession, d: str) -> DataFrame:
 _SUMS = f"SELECT coalesce(kind, 'none') AS kind, levenshtein(ref, hyp) AS ce, length(ref) AS cn, {_ERRORS} AS we, len(r) AS wn, (ref = hyp)::INT AS ex FROM ({_TOKENS}) JOIN (SELECT DISTINCT item_id, kind FROM translit_items) USING (item_id)"
 
 
-@query(f"SELECT CASE WHEN grouping(kind) = 1 THEN 'all' ELSE kind END AS kind, count(*) AS n, round(sum(ce)::DOUBLE / greatest(sum(cn), 1), 6) AS cer, round(sum(we)::DOUBLE / greatest(sum(wn), 1), 6) AS wer, round(sum(ex)::DOUBLE / count(*), 6) AS exact FROM ({_SUMS}) GROUP BY GROUPING SETS ((kind), ())")
+@query(f"SELECT CASE WHEN grouping(kind) = 1 THEN 'all' ELSE kind END AS kind, count(*) AS n, round(sum(ce)::DOUBLE / greatest(sum(cn), 1), 6) AS cer, round(sum(we)::DOUBLE / greatest(sum(wn), 1), 6) AS wer, round(sum(ex)::DOUBLE / count(*), 6) AS exact FROM ({_SUMS}) GROUP BY GROUPING SETS ((kind), ()) HAVING count(*) > 0")
 def score_micro_sets(spark: SparkSession, d: str) -> DataFrame:
     """Rates of the summed errors by kind of item and over all."""
     kinds = table(spark, d, "translit_items").select("item_id", "kind").distinct()

@@ -1 +1 @@
-"""Part of the tarkib engine."""
+"""Structured Streaming: builds that are taken up again, tables that follow a log."""
