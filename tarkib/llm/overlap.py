@@ -1,7 +1,9 @@
 """Problem 1: same or nearly same records across splits.
 
 Method: exact prefix-filter join of two sides. The rare shingles of the evaluation keys are the index; those of
-the training keys probe it under length and position filters; what meets is verified by edit distance.
+the training keys probe it under length and position filters; what meets is verified by edit distance. Length and
+position are part of the join key, in blocks, so that a shingle that a third of all rows have is split; a sketch of
+the letters goes with each shingle, and pairs whose letters differ too much never leave the join.
 """
 
 from __future__ import annotations
@@ -88,50 +90,129 @@ def shingle_counts(keys_: DataFrame) -> np.ndarray:
     return out
 
 
+# --- Fixed values: bits of a letter's count in the sketch, more for letters met more often. Only the strength of the
+# filter depends on them, never a result.
+_BITS_OF = {"ا": 8, "ی": 6, "ہ": 6, "ر": 5, "ن": 5, "و": 5, "ک": 5, "ے": 5, "م": 4, "ت": 4, "ل": 4, "س": 4, "ھ": 4} | dict.fromkeys("ںبدپجگ", 3)
+_OTHERS, _OTHER_BITS = 15, 3
+_FIRST_BIT = dict(zip(_BITS_OF, np.cumsum([0, *_BITS_OF.values()])[:-1].tolist(), strict=True))
+_REST = sum(_BITS_OF.values())
+
+
+def sketch(key: str) -> tuple[int, int]:
+    """Counts of the letters of a key in unary, 128 bits. An edit changes at most one count upwards and one downwards, so
+    keys within k edits differ in at most k bits each way."""
+    bits = 0
+    for ch in set(key):
+        n = key.count(ch)
+        if ch in _BITS_OF:
+            bits |= ((1 << min(n, _BITS_OF[ch])) - 1) << _FIRST_BIT[ch]
+    others: dict[int, int] = {}
+    for ch in key:
+        if ch not in _BITS_OF:
+            others[ord(ch) % _OTHERS] = others.get(ord(ch) % _OTHERS, 0) + 1
+    for slot, n in others.items():
+        bits |= ((1 << min(n, _OTHER_BITS)) - 1) << (_REST + slot * _OTHER_BITS)
+    low, high = bits & 0xFFFFFFFFFFFFFFFF, bits >> 64
+    return low - (1 << 64) if low >> 63 else low, high - (1 << 64) if high >> 63 else high
+
+
+def length_block(length: int) -> int:
+    """Blocks of lengths, each a fifth wider than the one before: keys that may meet are in neighbouring blocks."""
+    return int(np.log(length) / np.log(1 / (1 - DIFFER)) + 1e-9)
+
+
+def _longest(block: int) -> int:
+    return int((1 / (1 - DIFFER)) ** (block + 1) + 1)
+
+
+def places(length: int, at: np.ndarray, probe: bool) -> list[tuple[int, np.ndarray]]:
+    """(block of length, blocks of position) under which a shingle is looked up or, for the index, filed: the probe under
+    its own, the index under every block that a key near enough could probe."""
+    own = length_block(length)
+    if probe:
+        return [(own, at // max(1, allowed(_longest(own))))]
+    out = []
+    for block in (own - 1, own, own + 1):
+        width = max(1, allowed(_longest(block)))
+        reach = max(allowed(length), allowed(_longest(block)))
+        low, high = (np.maximum(at - reach, 0)) // width, (at + reach) // width
+        for step in range(int((high - low).max()) + 1 if len(at) else 0):
+            out.append((block, np.where(low + step <= high, low + step, -1)))
+    return out
+
+
+_PREFIX = T.StructType([T.StructField(n, t) for n, t in (("g", T.LongType()), ("h", T.LongType()), ("n", T.IntegerType()), ("at", T.IntegerType()), ("s1", T.LongType()), ("s2", T.LongType()))])
+
+
+def _placed(codes: np.ndarray, block: int, position: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = codes ^ np.uint64(((block + 2) * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)
+        x = (x + position.astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+        return x ^ (x >> np.uint64(31))
+
+
 def prefixes(keys_: DataFrame, counts, wanted=None) -> DataFrame:
-    """(g, h, n, at): the rare shingles of each key with the key's hash and length and the shingle's place.
-    ``wanted``: bits of the shingles worth emitting."""
+    """(g, h, n, at, s1, s2): the rare shingles of each key, mixed with their blocks of length and position, the key's
+    hash, length and sketch, and the shingle's place. ``wanted``: bits of what is worth probing; without, the index."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         freq = counts.value
         bits = None if wanted is None else wanted.value
         for b in batches:
-            out: list[tuple[np.ndarray, np.ndarray, int, int]] = []
+            out: list[tuple[np.ndarray, np.ndarray, int, int, int, int]] = []
             for h, key in zip(b["h"], b["key"], strict=True):
+                s1, s2 = sketch(key)
                 for q in _kinds(len(key)):
                     codes = _codes(key, q)
                     order = np.lexsort((np.arange(len(codes)), codes, freq[(codes % np.uint64(BUCKETS)).astype(np.int64)]))
                     order = order[: prefix_size(len(key), q)]
-                    if bits is not None:
-                        c = codes[order] % np.uint64(BITS)
-                        order = order[(bits[(c >> np.uint64(3)).astype(np.int64)] >> (c & np.uint64(7)).astype(np.uint8)) & 1 == 1]
-                    if len(order):
-                        out.append((codes[order], order, h, len(key)))
+                    for block, position in places(len(key), order, bits is not None):
+                        at = order[position >= 0]
+                        g = _placed(codes[at], block, position[position >= 0])
+                        if bits is not None:
+                            c = g % np.uint64(BITS)
+                            kept = (bits[(c >> np.uint64(3)).astype(np.int64)] >> (c & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                            g, at = g[kept], at[kept]
+                        if len(g):
+                            out.append((g, at, h, len(key), s1, s2))
             sizes = [len(x[0]) for x in out]
+
+            def spread(i: int, kind) -> np.ndarray:
+                return np.repeat(np.array([x[i] for x in out], dtype=kind), sizes)
+
             yield pd.DataFrame(
                 {
                     "g": np.concatenate([x[0] for x in out]).view(np.int64) if out else np.empty(0, dtype=np.int64),
-                    "h": np.repeat(np.array([x[2] for x in out], dtype=np.int64), sizes),
-                    "n": np.repeat(np.array([x[3] for x in out], dtype=np.int32), sizes),
+                    "h": spread(2, np.int64),
+                    "n": spread(3, np.int32),
                     "at": np.concatenate([x[1] for x in out]).astype(np.int32) if out else np.empty(0, dtype=np.int32),
+                    "s1": spread(4, np.int64),
+                    "s2": spread(5, np.int64),
                 }
             )
 
-    return keys_.mapInPandas(run, "g long, h long, n int, at int")
+    return keys_.mapInPandas(run, _PREFIX)
 
 
 def index_bits(index: DataFrame) -> np.ndarray:
-    """A bit for each shingle of the index, in a table of fixed size."""
+    """A bit for each shingle of the index, in a table of fixed size: one for each task, these joined in eight."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits = np.zeros(BITS, dtype=bool)
         for b in batches:
             bits[(b["g"].to_numpy(dtype=np.int64).view(np.uint64) % np.uint64(BITS)).astype(np.int64)] = True
-        yield pd.DataFrame({"i": [0], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
+        yield pd.DataFrame({"bits": [np.packbits(bits, bitorder="little").tobytes()]})
 
-    parts = index.select("g").coalesce(8).mapInPandas(run, "i int, bits binary").collect()
+    def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = np.zeros(BITS // 8, dtype=np.uint8)
+        for b in batches:
+            for x in b["bits"]:
+                out |= np.frombuffer(bytes(x), dtype=np.uint8)
+        yield pd.DataFrame({"bits": [out.tobytes()]})
+
+    marked = index.select("g").mapInPandas(mark, "bits binary")
     out = np.zeros(BITS // 8, dtype=np.uint8)
-    for r in parts:
+    for r in marked.repartition(8).mapInPandas(join, "bits binary").collect():
         out |= np.frombuffer(bytes(r.bits), dtype=np.uint8)
     return out
 
@@ -149,9 +230,15 @@ def near_keys(left: DataFrame, right: DataFrame) -> DataFrame:
     counts = sc.broadcast(shingle_counts(a.select("key").unionByName(b.select("key"))))
     index = cut(prefixes(a, counts))
     bits = sc.broadcast(index_bits(index))
-    probe = prefixes(b, counts, bits).select("g", F.col("h").alias("h2"), F.col("n").alias("n2"), F.col("at").alias("at2"))
+    probe = prefixes(b, counts, bits).select("g", *[F.col(c).alias(f"{c}2") for c in ("h", "n", "at", "s1", "s2")])
     most = F.floor(F.greatest("n", "n2") * F.lit(DIFFER) + F.lit(1e-9))
-    met = index.join(probe, "g").where((F.abs(F.col("n") - F.col("n2")) <= most) & (F.abs(F.col("at") - F.col("at2")) <= most))
+
+    def more(x: str, y: str) -> Column:
+        """Bits of the one sketch that the other lacks."""
+        return F.expr(f"bit_count(s1{x} & ~s1{y}) + bit_count(s2{x} & ~s2{y})")
+
+    near_by = (F.abs(F.col("n") - F.col("n2")) <= most) & (F.abs(F.col("at") - F.col("at2")) <= most)
+    met = index.join(probe, "g").where(near_by & (more("", "2") <= most) & (more("2", "") <= most))
     met = met.select("h", "h2").distinct()
     pairs = met.join(a.withColumnRenamed("key", "ka"), "h").join(b.select(F.col("h").alias("h2"), F.col("key").alias("kb")), "h2")
     return pairs.where("ka <> kb").where(near(F.col("ka"), F.col("kb"))).select("ka", "kb")
