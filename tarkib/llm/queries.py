@@ -108,6 +108,10 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.sharing_documents(table(spark, d, "documents"))
 
 
+def p9_classes(spark: SparkSession, d: str) -> DataFrame:
+    return spans.sharing_classes(table(spark, d, "documents"))
+
+
 def p9_shared(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_amount(table(spark, d, "documents"))
 
