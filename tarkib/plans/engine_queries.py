@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import letters
 from ..operators import engines
+from ..storage import shared_folder
 from ..streaming import updates
 from .registry import query, table
 
@@ -60,11 +61,7 @@ def engine_runs(spark: SparkSession, d: str) -> DataFrame:
 
 def _folder(spark: SparkSession) -> str:
     """A new folder that all executors share, beside the checkpoints."""
-    sc = spark.sparkContext
-    base = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
-    if not base:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{base.rstrip('/')}/streams/{uuid.uuid4().hex}"
+    return f"{shared_folder(spark).rstrip('/')}/streams/{uuid.uuid4().hex}"
 
 
 @query("SELECT DISTINCT train_id, src, tgt FROM train")
