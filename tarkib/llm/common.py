@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
+from collections.abc import Iterable
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,6 +26,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: A table of bits has so many words of 64 bits: 4 MB, whatever it stands for.
+BIT_WORDS = 1 << 18
+
+
+def bit_filtered(df: DataFrame, key: str, among: DataFrame, other: str) -> DataFrame:
+    """Rows of ``df`` whose ``key`` (bigint) may be among ``other``: none that is gets lost, some that aren't pass, more
+    the more there are. What is broadcast has a fixed size; an exact join follows, with less to shuffle."""
+
+    def word(c: str) -> Column:
+        return F.pmod(F.col(c), F.lit(BIT_WORDS))
+
+    def mask(c: str) -> str:
+        return f"shiftleft(1L, cast(pmod(shiftright({c}, 18), 64) as int))"
+
+    bits = among.groupBy(word(other).alias("_word")).agg(F.expr(f"bit_or({mask(other)})").alias("_bits"))
+    return df.withColumn("_word", word(key)).join(F.broadcast(bits), "_word").where(f"_bits & {mask(key)} <> 0").drop("_word", "_bits")
+
+
 # --- Fixed values: characters that look the same to a reader -----------------------------------
 #: Letters of the Arabic keyboard layout and the Urdu letter of the same shape or sound.
 URDU_LETTERS = {"ي": "ی", "ى": "ی", "ك": "ک", "ه": "ہ", "ە": "ہ", "ڪ": "ک", "ې": "ی"}
@@ -50,16 +70,19 @@ _SHAPES = str.maketrans(URDU_LETTERS | URDU_DIGITS | LATIN_SHAPES | HYPHENS)
 @lru_cache(maxsize=1)
 def invisible_class() -> str:
     """Body of a regex class of all characters that print nothing, taken from the Unicode categories."""
-    out = [cp for cp in range(0x20000) if unicodedata.category(chr(cp)) in ("Cf", "Cc") and chr(cp) not in "\n\t\r\x0b\x0c\x85"]
-    out += [0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, *range(0xFE00, 0xFE10)]
-    out = sorted(set(out) - set(range(0x0600, 0x0606)) - {0x06DD, 0x070F, 0x08E2, 0x00AD})
+    out = [cp for cp in range(sys.maxunicode + 1) if unicodedata.category(chr(cp)) in ("Cf", "Cc") and chr(cp) not in "\n\t\r\x0b\x0c\x85"]
+    out += [0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, *range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0)]
+    return _body(set(out) - set(range(0x0600, 0x0606)) - {0x06DD, 0x070F, 0x08E2, 0x00AD})
+
+
+def _body(points: Iterable[int]) -> str:
     runs: list[list[int]] = []
-    for cp in out:
+    for cp in sorted(set(points)):
         if runs and cp == runs[-1][1] + 1:
             runs[-1][1] = cp
         else:
             runs.append([cp, cp])
-    return "".join(f"{chr(a)}-{chr(b)}" if a != b else chr(a) for a, b in runs).replace("\\", "\\\\").replace("]", "\\]")
+    return "".join(f"\\U{a:08X}-\\U{b:08X}" for a, b in runs)
 
 
 _INVISIBLE = re.compile(f"[{invisible_class()}]")
@@ -67,63 +90,54 @@ _BLANKS = re.compile(r"[^\S\n]+")
 _AROUND_BREAK = re.compile(r" ?\n ?")
 
 
-@lru_cache(maxsize=4096)
-def _joins_back(ch: str) -> bool:
-    return any(a <= ord(ch) <= b for a, b in ((0x1161, 0x1175), (0x11A8, 0x11C2), (0x09BE, 0x09BE), (0x09D7, 0x09D7), (0x0B3E, 0x0B57), (0x0BBE, 0x0BD7), (0x0CC2, 0x0CD6), (0x0D3E, 0x0D57), (0x0DCF, 0x0DDF)))
-
-
-def nfkc_spliced(text: str) -> str:
-    """NFKC of ``text``. The quick check passes stable text at once; else only the unstable segments,
-    each widened to the nearest boundaries, are normalised and spliced back."""
-    if text.isascii() or unicodedata.is_normalized("NFKC", text):
-        return text
-    out, start, n = [], 0, len(text)
-    i = 0
-    while i < n:
-        ch = text[i]
-        if ch.isascii() or (_stable(ch)):
-            i += 1
-            continue
-        a = i
-        while a > start and not _boundary(text[a]):
-            a -= 1
-        b = i + 1
-        while b < n and not _boundary(text[b]):
-            b += 1
-        out.append(text[start:a])
-        out.append(unicodedata.normalize("NFKC", text[a:b]))
-        start = i = b
-    out.append(text[start:])
-    return "".join(out)
+def _settled(segment: str) -> str:
+    """The one form of a segment that stands between boundaries."""
+    t = _INVISIBLE.sub("", unicodedata.normalize("NFKC", segment))
+    if any(c in t for c in "ٕٓٔئؤۂۀۓأإآ"):
+        return re.sub("کٔ+", "ک", unicodedata.normalize("NFC", unicodedata.normalize("NFD", t).translate(_SHAPES)).replace("یٔ", "ئ"))
+    return unicodedata.normalize("NFC", t.translate(_SHAPES))
 
 
-@lru_cache(maxsize=65536)
-def _stable(ch: str) -> bool:
-    """Quick check of one character: normalised by itself and joins nothing before it."""
-    return unicodedata.is_normalized("NFKC", ch) and unicodedata.combining(ch) == 0 and not _joins_back(ch)
+def _changes(ch: str) -> bool:
+    """Quick check of one character: No or Maybe, that is, it isn't its own one form or may join the one before it."""
+    return _settled(ch) != ch or _settled("x" + ch + "x") != "x" + ch + "x" or unicodedata.combining(ch) not in (0, 7, 9)
 
 
-@lru_cache(maxsize=65536)
-def _boundary(ch: str) -> bool:
-    first = unicodedata.normalize("NFKD", ch)[0]
-    return unicodedata.combining(first) == 0 and not _joins_back(first)
+#: Blocks whose stable characters are told from the rest; all others count as unstable, which costs time only.
+_KNOWN = [*range(0x20, 0x7F), 0x0A, *range(0x0600, 0x0700), *range(0x0900, 0x0980), *range(0x2010, 0x2020)]
+
+
+@lru_cache(maxsize=1)
+def stable_points() -> frozenset[int]:
+    return frozenset(cp for cp in _KNOWN if not _changes(chr(cp)))
+
+
+def java_class(points: Iterable[int]) -> str:
+    return re.sub(r"\\U0*([0-9A-F]+)", r"\\x{\1}", _body(points))
+
+
+#: Nuktas join some letters and change places with a virama; after other letters they are stable. A virama after a mark
+#: may change places too.
+_LETTER = "\u0915-\u0927\u092A-\u092F\u0932\u0935-\u0939"
+_PLACED = f"(?<![{_LETTER}])\u093C|(?<![\u0904-\u0939\u093C])\u094D"
+#: An unstable stretch: a letter that may be the base of what follows, then unstable characters and further marks.
+_STRETCH = re.compile(f".?(?:[^{_body(stable_points())}]|{_PLACED})(?:[^{_body(stable_points())}]|[\u093C\u094D])*", re.S)
 
 
 def canon(text: str | None) -> str | None:
-    """The one form of all texts that look alike; NULL stays NULL, a text of nothing visible is ''."""
+    """The one form of all texts that look alike; NULL stays NULL, a text of nothing visible is ''. Unstable stretches,
+    each with the letter before it, are brought to their form and spliced into the unchanged text."""
     if text is None:
         return None
-    if text.isascii() and not re.search(r"[\x00-\x09\x0b-\x1f\x7f]|  | \n|\n |^\s|\s$", text):
-        return text
-    t = LINE_ENDS.sub("\n", text)
-    t = _INVISIBLE.sub("", nfkc_spliced(t))
-    if any(c in t for c in "ٕٓٔئؤۂۀۓأإآ"):
-        t = unicodedata.normalize("NFC", unicodedata.normalize("NFD", t).translate(_SHAPES)).replace("یٔ", "ئ").replace("کٔ", "ک")
-    else:
-        t = unicodedata.normalize("NFC", t.translate(_SHAPES))
+    t = _STRETCH.sub(lambda m: _form(m.group()), LINE_ENDS.sub("\n", text))
     return _AROUND_BREAK.sub("\n", _BLANKS.sub(" ", t)).strip(" \n")
 
 
+@lru_cache(maxsize=100_000)
+def _form(stretch: str) -> str:
+    return _settled(stretch)
+
+
 _DROP_MARKS = str.maketrans("", "", VOWEL_MARKS + KASHIDA)
 
 
