@@ -54,14 +54,26 @@ def p3_report(spark: SparkSession, d: str) -> DataFrame:
     return got.groupBy("split").agg(F.count("*").alias("rows"), F.countDistinct("component").alias("components"))
 
 
-def p4_found(spark: SparkSession, d: str) -> DataFrame:
+_ALIKE = (("ocr_results", "result_id", "text", "page_id"), ("test", "test_id", "urdu", None), ("translit_results", "result_id", "devanagari", "item_id"))
+
+
+def _each_field(spark: SparkSession, d: str, operator) -> DataFrame:
     out = None
-    for name, row_id, text, within in (("ocr_results", "result_id", "text", "page_id"), ("test", "test_id", "urdu", None), ("translit_results", "result_id", "devanagari", "item_id")):
-        got = text_forms.look_alikes(table(spark, d, name), row_id, text, within).select(F.lit(f"{name}.{text}").alias("field"), "id_a", "id_b")
+    for name, row_id, text, within in _ALIKE:
+        got = operator(table(spark, d, name), row_id, text, within)
+        got = got.select(F.lit(f"{name}.{text}").alias("field"), *got.columns)
         out = got if out is None else out.unionByName(got)
     return out
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return _each_field(spark, d, text_forms.look_alikes)
+
+
+def p4_classes(spark: SparkSession, d: str) -> DataFrame:
+    return _each_field(spark, d, text_forms.form_classes)
+
+
 def p4_canonical(spark: SparkSession, d: str) -> DataFrame:
     out = None
     for name, row_id, text in (("ocr_results", "result_id", "text"), ("test", "test_id", "urdu"), ("translit_results", "result_id", "devanagari")):
