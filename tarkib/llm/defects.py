@@ -2,12 +2,12 @@
 
 Method: readings are told from other answers by the likeness of consonant skeletons; copy, language, truncation
 and loop checks label the rest; openings of what remains are clustered by verified MinHash, and a template that
-recurs across unrelated prompts reveals refusals.
+recurs across unrelated prompts, and that reads nothing, reveals refusals. From the words of such answers those of
+rarer wordings are known. No phrase is listed.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -18,34 +18,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import canon, cut, letters
+from .common import cut, letters
+from .graphs import components
 from .reading import likeness, skeletons
 
 #: Least likeness of a reading; true readings and others lie far on either side.
 READING = 0.7
-#: Prompts that an opening must answer to be a template, least likeness of openings, words of an opening.
+#: Prompts that an opening must answer to be a template, and its least share of the open answers of its verdict, so that
+#: what is a template stays one, and only that, as the table grows.
 PROMPTS = 3
-#: Least share of the open answers of its verdict that a template without a declining phrase makes up: of a template
-#: it stays as the table grows.
-SHARE = 0.01
+SHARE = 0.0004
+#: Most of a template's words that are words of readings; share of words of a script's readings above which a word of an
+#: answer counts as one.
+READ_WORDS = 0.75
+#: Rounds in which the words of templates are learned; most that one word can say, in nats.
+ROUNDS, MOST = 4, 3.0
 SIMILAR = 0.8
 OPENING = 8
-BANDS, ROWS = 10, 3
-
-# --- Fixed values: phrases that decline, without nuktas and punctuation, in lower case -----------
-DECLINING = [
-    "i'm sorry", "sorry,", "i cannot", "i can't", "apologies", "i must decline", "i regret", "unable to", "won't be able",
-    "as an assistant", "unfortunately", "outside what i may", "no reading can be given",
-    "माफ कीजिए", "क्षमा करें", "खेद है कि", "मुझे अफसोस है", "अनुमति नहीं", "मेरे लिए संभव नहीं", "मेरी नीति के बाहर", "मदद नहीं कर",
-    "उत्तर नहीं दिया", "नहीं बदल सकता", "दूसरा पाठ दीजिए", "सहायक के तौर", "इस अनुरोध के बारे",
-    "معذرت", "معاف کیجیے", "افسوس ہے کہ", "اجازت نہیں", "مدد ممکن نہیں", "نہیں لکھ سکتا", "جواب نہیں دیا جا",
-]
-_CUES = re.compile("|".join(map(re.escape, DECLINING)))
-
-
-def declines(text: str | None) -> bool:
-    return bool(_CUES.search((canon(text) or "").replace("़", "").replace("’", "'").lower()))
-
+BANDS, ROWS = 20, 4
 
 def script(text: str) -> str:
     """deva, urdu or other: the script of most letters."""
@@ -149,56 +139,76 @@ def _bands(s: pd.Series) -> pd.Series:
     return pd.Series([bands(x) for x in s], dtype=object)
 
 
-def _link(band: pd.DataFrame) -> pd.DataFrame:
-    """Verified links of one band: an opening is tried with every head so far and heads a cluster itself if it is
-    like none of them."""
-    heads: list[tuple[str, set[int]]] = []
-    rows = []
-    for x in sorted(set(band["opening"])):
-        p = set(_shingles(x).tolist())
-        like = [h for h, q in heads if (n := len(p & q)) >= SIMILAR * (len(p) + len(q) - n)]
-        rows += [(x, h) for h in like]
-        if not like:
-            heads.append((x, p))
-    return pd.DataFrame(rows, columns=["opening", "first"])
+@F.pandas_udf(T.BooleanType())
+def _alike(a: pd.Series, b: pd.Series) -> pd.Series:
+    out = []
+    for x, y in zip(a, b, strict=True):
+        p, q = set(_shingles(x).tolist()), set(_shingles(y).tolist())
+        n = len(p & q)
+        out.append(n >= SIMILAR * (len(p) + len(q) - n))
+    return pd.Series(out, dtype=bool)
 
 
-def clusters(openings: DataFrame) -> DataFrame:
-    """(opening, cluster) of distinct openings: connected by verified links to the heads of each band, labels spread
-    until none changes."""
-    flat = openings.select("opening", F.explode(_bands("opening")).alias("band"))
-    several = flat.groupBy("band").agg(F.min("opening").alias("first"), F.max("opening").alias("last")).where("first <> last").select("band")
-    links = cut(flat.join(several, "band").groupBy("band").applyInPandas(_link, "opening string, first string").distinct())
-    both = cut(links.unionByName(links.select(F.col("first").alias("opening"), F.col("opening").alias("first"))))
-    labels = openings.withColumn("cluster", F.col("opening"))
+def links(openings: DataFrame) -> DataFrame:
+    """(u, v): verified links of distinct openings. In every MinHash band all are tried with the least; those unlike it
+    with the least of what is left, and so on until each is linked or a head itself. No band is gathered."""
+    left = cut(openings.select("opening", F.explode(_bands("opening")).alias("band")))
+    out = None
     while True:
-        near = both.join(labels.withColumnRenamed("opening", "first"), "first").groupBy("opening").agg(F.min("cluster").alias("other"))
-        new = cut(labels.join(near, "opening", "left").select("opening", F.least("cluster", "other").alias("cluster"), (F.col("other") < F.col("cluster")).alias("moved")))
-        labels = new.select("opening", "cluster")
-        if new.where("moved").isEmpty():
-            return labels
+        heads = left.groupBy("band").agg(F.min("opening").alias("head"), F.max("opening").alias("last")).where("head <> last").select("band", "head")
+        tried = left.join(heads, "band").where("opening <> head")
+        # a pair that meets in several bands is verified once
+        pairs = tried.select("opening", "head").distinct()
+        told = cut(tried.join(pairs.withColumn("same", _alike("opening", "head")), ["opening", "head"]))
+        got = told.where("same").select(F.col("opening").alias("u"), F.col("head").alias("v")).distinct()
+        out = got if out is None else out.unionByName(got)
+        left = told.where("NOT same").select("opening", "band")
+        if left.isEmpty():
+            return out.distinct()
+
 
+def clusters(openings: DataFrame) -> DataFrame:
+    """(opening, cluster) of distinct openings, connected by verified links."""
+    named = openings.select("opening", F.xxhash64("opening").alias("node"))
+    edges = links(openings).select(F.xxhash64("u").alias("u"), F.xxhash64("v").alias("v"))
+    found = components(edges)
+    return named.join(found, "node", "left").select("opening", F.coalesce("component", "node").alias("cluster"))
 
-def reading_openings(candidates: list[str], prompts: DataFrame) -> set[str]:
-    """Those of a few openings that read the start of one of the ``prompts``: readings of another text, no templates."""
-    sought = [(x, f) for x in candidates if len(f := "".join(skeletons(x))) >= 4]
-    if not sought:
-        return set()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            hit = set()
-            for ur in b["ur"]:
-                start = "".join(skeletons(ur)[:OPENING])
-                for x, f in sought:
-                    if min(len(f), len(start)) >= READING * max(len(f), len(start)) and likeness(f, start) >= READING:
-                        hit.add(x)
-            yield pd.DataFrame({"opening": sorted(hit)}, dtype=object)
+def read_words(judged: DataFrame, rows: DataFrame) -> DataFrame:
+    """(word): words of the prompts and of answers that read them: what an answer that is a reading is made of."""
+    plain = letters_words("text")
+    faulty = judged.where("field = 'hi'").select("label_id").distinct()
+    read = rows.join(faulty, "label_id", "left_anti").select(F.col("hi").alias("text"))
+    texts = rows.select(F.col("ur").alias("text")).unionByName(read).where("text IS NOT NULL").distinct()
+    return texts.select(F.explode(plain).alias("word")).distinct()
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def letters_words(s: pd.Series) -> pd.Series:
+    """Distinct words of texts, by letters and digits."""
+    return pd.Series([sorted(set((letters(x, True) or "").split())) if isinstance(x, str) else [] for x in s], dtype=object)
+
 
-    return {r.opening for r in prompts.where("ur IS NOT NULL").select("ur").distinct().mapInPandas(run, "opening string").distinct().collect()}
+def refusing(told: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(label_id, field) of the open answers made of the words of templates. ``told``: (label_id, field, kind, words);
+    ``seeds``: (label_id, field) of answers that are templates. Each word's odds between templates and the other open
+    answers of its kind are learned and the answers told by their sum, in a few rounds, as naive Bayes does."""
+    words = cut(told.select("label_id", "field", "kind", F.explode("words").alias("word")))
+    base = cut(told.select("label_id", "field", "kind").join(seeds.withColumn("seed", F.lit(True)), ["label_id", "field"], "left").withColumn("seed", F.coalesce("seed", F.lit(False))))
+    now = base.withColumn("yes", F.col("seed"))
+    for _ in range(ROUNDS):
+        size = now.groupBy("kind").agg(F.count_if("yes").alias("ny"), F.count_if(~F.col("yes")).alias("nn"))  # one row a kind
+        counts = words.join(now, ["label_id", "field", "kind"]).groupBy("kind", "word").agg(F.count_if("yes").alias("y"), F.count_if(~F.col("yes")).alias("n")).join(size, "kind")
+        p = (F.col("y") + F.col("n")) / (F.col("ny") + F.col("nn"))
+        odds = F.log((F.col("y") + p) / (F.col("ny") + 1)) - F.log((F.col("n") + p) / (F.col("nn") + 1))
+        said = counts.where("ny > 0").select("kind", "word", F.least(F.greatest(odds, F.lit(-MOST)), F.lit(MOST)).alias("w"))
+        score = words.join(said, ["kind", "word"]).groupBy("label_id", "field").agg(F.sum("w").alias("score"))
+        now = cut(base.join(score, ["label_id", "field"], "left").withColumn("yes", F.col("seed") | (F.coalesce("score", F.lit(-1.0)) > 0)).drop("score"))
+    return now.where("yes").select("label_id", "field")
 
 
-_JUDGED = "label_id long, field string, verdict string, opening string, prompt string, declines boolean"
+_JUDGED = "label_id long, field string, verdict string, kind string, opening string, words array<string>, prompt string"
 
 
 def defects(labels: DataFrame) -> DataFrame:
@@ -212,33 +222,30 @@ def defects(labels: DataFrame) -> DataFrame:
             for r in b.itertuples(index=False):
                 ur, hi, back = (x if isinstance(x, str) else None for x in (r.ur, r.hi, r.back))
                 field, verdict, answer = _verdict(ur, hi, back)
-                if verdict:
-                    open_ = verdict in "?!"
-                    opening = " ".join((letters(answer, True) or "").split()[:OPENING]) if open_ else None
-                    rows.append((r.label_id, field, verdict, opening, letters(ur) if open_ else None, open_ and declines(answer)))
-            yield pd.DataFrame(rows, columns=["label_id", "field", "verdict", "opening", "prompt", "declines"])
+                if not verdict:
+                    continue
+                ws = (letters(answer, True) or "").split() if verdict in "?!" else None
+                rows.append((r.label_id, field, verdict, script(" ".join(ws)) if ws else None, " ".join(ws[:OPENING]) if ws else None, sorted(set(ws)) if ws else None, letters(ur) if ws else None))
+            yield pd.DataFrame(rows, columns=["label_id", "field", "verdict", "kind", "opening", "words", "prompt"])
 
     rows = labels.where("label_id IS NOT NULL").select("label_id", "ur", "hi", "back").distinct()
     judged = cut(rows.mapInPandas(run, _JUDGED))
-    pending = judged.where("opening IS NOT NULL")
-    named = clusters(pending.select("opening").distinct())
-    told = pending.join(named, "opening")
-    told = cut(told)
-    # one prompt counts once
-    support = told.groupBy("cluster", "verdict").agg(F.countDistinct("prompt").alias("prompts"), F.count("*").alias("answers"), F.min("opening").alias("shown"))
-    cued = told.groupBy("cluster").agg(F.countDistinct("prompt").alias("all_prompts"), F.max("declines").alias("cued"))
-    total = told.groupBy("verdict").agg(F.count("*").alias("total"))
-    uncued = support.join(cued, "cluster").join(total, "verdict").where(~F.col("cued") & (F.col("prompts") >= PROMPTS) & (F.col("answers") >= SHARE * F.col("total")))
-    # at most 1 / SHARE of each verdict
-    found = {(r.cluster, r.verdict): r.shown for r in uncued.collect()}
-    reads = reading_openings(sorted(set(found.values())), rows)
-    new = [k for k, x in found.items() if x not in reads]
-    recurs = F.lit(False)
-    for verdict in "?!":
-        recurs = recurs | (F.col("verdict") == verdict) & F.col("cluster").isin([c for c, v in new if v == verdict])
-    template = (F.col("all_prompts") >= PROMPTS) & F.col("cued") | recurs
-    kind = F.when(F.col("declines") | template, "refusal").when(F.col("verdict") == "!", "language").otherwise("unrelated")
-    opened = told.join(cued, "cluster").select("label_id", "field", kind.alias("defect"))
+    pending = judged.where("opening IS NOT NULL").dropDuplicates(["label_id", "field", "opening"])
+    told = cut(pending.join(clusters(pending.select("opening").distinct()), "opening"))
+    # one prompt counts once; counted by (cluster, prompt) first, so that a hot template is combined before the shuffle
+    each = told.groupBy("cluster", "kind", "prompt").agg(F.count("*").alias("n"), F.min("opening").alias("shown"))
+    support = each.groupBy("cluster", "kind").agg(F.count("prompt").alias("prompts"), F.sum("n").alias("answers"), F.min("shown").alias("shown"))
+    total = told.groupBy("kind").agg(F.count("*").alias("total"))
+    often = cut(support.join(total, "kind").where((F.col("prompts") >= PROMPTS) & (F.col("answers") >= SHARE * F.col("total"))))
+    # a reading of another text recurs too, but its words are those of readings
+    spelled = often.select("cluster", "kind", F.explode(F.split("shown", " ")).alias("word"))
+    known = read_words(judged, rows).join(spelled.select("word").distinct(), "word", "left_semi").withColumn("known", F.lit(1))
+    share = spelled.join(known, "word", "left").groupBy("cluster", "kind").agg(F.avg(F.coalesce("known", F.lit(0))).alias("known"))
+    templates = share.where(F.col("known") <= READ_WORDS).select("cluster", "kind")
+    seeds = told.join(templates, ["cluster", "kind"], "left_semi").select("label_id", "field").distinct()
+    refused = refusing(told.select("label_id", "field", "kind", "words"), seeds).withColumn("refused", F.lit(True)).distinct()
+    kind = F.when(F.col("refused"), "refusal").when(F.col("verdict") == "!", "language").otherwise("unrelated")
+    opened = told.join(refused, ["label_id", "field"], "left").select("label_id", "field", kind.alias("defect"))
     plain = judged.where("opening IS NULL").select("label_id", "field", F.col("verdict").alias("defect"))
     best = plain.unionByName(opened).groupBy("label_id").agg(F.max(F.struct("field", "defect")).alias("x"))
     return best.select("label_id", "x.field", "x.defect")
