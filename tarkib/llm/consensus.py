@@ -20,12 +20,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import canon, cut, words
+from .graphs import components
 
 FIELDS = ("devanagari", "roman")
 LEAST = 3
 ROUNDS = 12
-#: Skills are kept on the driver, two numbers for each annotator and field.
-MOST_ANNOTATORS = 100_000
+#: Up to so many (annotator, field) the skills, some 50 bytes each, go with the tasks' function; more are joined to the
+#: votes. The results are the same.
+CARRIED = 100_000
+#: Annotators that repeat each other: least of the tasks both answered and one got wrong on which both gave the same wrong
+#: answer, and least number of these. Independent ones of the kinds met are below 0.2, copies above 0.6.
+SAME, LEAST_SAME = 0.35, 3
+#: Minima of so many hashes of its wrong answers describe an annotator.
+HASHES = 64
 
 
 def clean(text: str | None, field: str) -> str | None:
@@ -124,20 +131,17 @@ def tasks(packed: DataFrame, items: DataFrame | None = None) -> DataFrame:
     return packed.select("item_id", "field", "answers", "urdu").mapInPandas(run, _TASKS)
 
 
-def _estimate(b: pa.RecordBatch, skill: dict, weight: dict) -> tuple:
-    """One expectation step over a batch, the tasks' ease learned within: flat arrays of the votes (task,
-    annotator and field, chance of being right, ease) and of the candidates' posteriors."""
+def _estimate(b: pa.RecordBatch) -> tuple:
+    """One expectation step over a batch with columns alpha and share, the tasks' ease learned within: flat arrays of the
+    votes (annotator, field, task, answer, chance of being right, its chance by skill, ease, share) and of the
+    candidates' posteriors with their tasks' bounds, and the ease of each task."""
     said = b.column("said")
     start = np.asarray(said.offsets)
     start = start - start[0]
     n, size = len(b), np.diff(start)
     task = np.repeat(np.arange(n), size)
     given = np.asarray(said.flatten()).astype(np.int64)
-    fields = b.column("field").to_pylist()
-    who = b.column("who").flatten().to_pylist()
-    names = [(w, fields[t]) for w, t in zip(who, task, strict=True)]
-    alpha = np.array([skill.get(x, 1.0) for x in names])
-    share = np.array([weight.get(x, 1.0) for x in names])
+    alpha, share = (np.asarray(b.column(c).flatten(), dtype=float) for c in ("alpha", "share"))
     kinds = np.diff(np.asarray(b.column("tokens").offsets))
     first = np.concatenate([[0], np.cumsum(kinds)])
     cand, owner = first[task] + given, np.repeat(np.arange(n), kinds)
@@ -156,131 +160,177 @@ def _estimate(b: pa.RecordBatch, skill: dict, weight: dict) -> tuple:
         grad = np.bincount(task, weights=share * x * (p - s), minlength=n) - ease
         curve = np.bincount(task, weights=share * x * x * s * (1 - s), minlength=n) + 1
         ease = np.clip(ease + np.clip(grad / curve, -0.7, 0.7), -3, 3)
-    return names, task, given, p, s, np.exp(ease)[task], share, post, owner, first
+    names = pd.DataFrame({"who": b.column("who").flatten().to_pandas(), "field": pd.Series(b.column("field").to_pandas().to_numpy()[task], dtype=object)})
+    return names, task, given, p, s, np.exp(ease)[task], post, owner, first, ease
 
 
-def _skills(stats: pd.DataFrame, skill: dict) -> dict:
-    """A Newton step of each annotator's skill, with a prior around 2."""
-    out = {}
-    for r in stats.itertuples(index=False):
-        key = (r.who, r.field)
-        old = skill.get(key, 1.0)
-        step = (r.grad - 0.5 * (old - 2.0)) / (r.curve + 0.5)
-        out[key] = float(np.clip(old + np.clip(step, -1.0, 1.0), -2.0, 6.0))
-    return out
+_SKILLS = "who string, field string, alpha double, share double"
 
 
-def learn(tasks_: DataFrame, rounds: int = ROUNDS) -> tuple[dict, dict, DataFrame]:
-    """Skills and vote weights of (annotator, field), and the tasks with a column ``prior``: the share of each
-    candidate among the reliable votes on the same word in all items. ``tasks_`` should be cut."""
+def with_skills(tasks_: DataFrame, skills: DataFrame, carried: int = CARRIED) -> DataFrame:
+    """``tasks_`` with arrays alpha and share beside ``who``: each annotator's skill and the weight of its vote, 1 and 1
+    for one not in ``skills`` (who, field, alpha, share)."""
+    known = skills.limit(carried + 1).toPandas()
+    ones = F.transform("who", lambda _: F.lit(1.0))
+    if known.empty:
+        return tasks_.withColumn("alpha", ones).withColumn("share", ones)
+    if len(known) <= carried:
+        table = {(w, f): (a, s) for w, f, a, s in known.itertuples(index=False)}
+
+        def attach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                offsets = b.column("who").offsets
+                size = np.diff(np.asarray(offsets))
+                fields = np.repeat(b.column("field").to_pandas().to_numpy(), size)
+                got = np.array([table.get(x, (1.0, 1.0)) for x in zip(b.column("who").flatten().to_pylist(), fields, strict=True)], dtype=float).reshape(-1, 2)
+                at = pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32))
+                for i, name in enumerate(("alpha", "share")):
+                    b = b.append_column(name, pa.ListArray.from_arrays(at, pa.array(got[:, i].copy())))
+                yield b
+
+        return tasks_.mapInArrow(attach, _ddl(tasks_) + ", alpha array<double>, share array<double>")
+    votes = tasks_.select("item_id", "field", "slot", F.posexplode("who").alias("k", "who"))
+    met = votes.join(skills, ["who", "field"], "left").select("item_id", "field", "slot", F.struct("k", F.coalesce("alpha", F.lit(1.0)).alias("alpha"), F.coalesce("share", F.lit(1.0)).alias("share")).alias("x"))
+    packed = met.groupBy("item_id", "field", "slot").agg(F.sort_array(F.collect_list("x")).alias("x"))  # as many as a task has votes
+    packed = packed.select("item_id", "field", "slot", F.transform("x", lambda e: e["alpha"]).alias("alpha"), F.transform("x", lambda e: e["share"]).alias("share"))
+    return tasks_.join(packed, ["item_id", "field", "slot"])
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"{n} {t}" for n, t in df.dtypes)
+
+
+def learn(tasks_: DataFrame, rounds: int = ROUNDS, carried: int = CARRIED) -> DataFrame:
+    """The tasks with columns alpha, share and ``prior``, the latter the share of each candidate among the reliable votes on
+    the same word in all items. ``tasks_`` should be cut."""
     plain = tasks_.withColumn("prior", F.transform("tokens", lambda _: F.lit(1.0)))
-    skill = _rounds(plain, {}, {}, rounds // 2)
-    weight = _weights(plain, skill)
-    pooled = cut(_pooled(plain, skill, weight))
-    skill = _rounds(pooled, skill, weight, rounds - rounds // 2)
-    return skill, weight, pooled
+    none = tasks_.sparkSession.createDataFrame([], _SKILLS)
+    skills = _rounds(plain, none, rounds // 2, carried)
+    skills = cut(_shared(with_skills(plain, skills, carried), skills))
+    pooled = cut(_pooled(with_skills(plain, skills, carried)))
+    skills = _rounds(pooled, skills, rounds - rounds // 2, carried)
+    return cut(with_skills(pooled, skills, carried))
 
 
-def _rounds(tasks_: DataFrame, skill: dict, weight: dict, rounds: int) -> dict:
-    for _ in range(rounds):
+def _rounds(tasks_: DataFrame, skills: DataFrame, rounds: int, carried: int) -> DataFrame:
+    """``skills`` after so many rounds: in each a Newton step of every annotator's skill, with a prior around 2."""
 
-        def step(batches: Iterator[pa.RecordBatch], skill=skill, weight=weight) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                names, _, _, p, s, ease, share, _, _, _ = _estimate(b, skill, weight)
-                if names:
-                    d = pd.DataFrame({"who": [w for w, _ in names], "field": [f for _, f in names], "grad": ease * (p - s), "curve": ease * ease * s * (1 - s)})
-                    yield pa.RecordBatch.from_pandas(d.groupby(["who", "field"], as_index=False).sum(), preserve_index=False)
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            names, _, _, p, s, ease, *_ = _estimate(b)
+            if len(names):
+                d = names.assign(grad=ease * (p - s), curve=ease * ease * s * (1 - s))
+                yield pa.RecordBatch.from_pandas(d.groupby(["who", "field"], as_index=False).sum(), preserve_index=False)
 
-        got = tasks_.mapInArrow(step, "who string, field string, grad double, curve double").groupBy("who", "field").agg(F.sum("grad").alias("grad"), F.sum("curve").alias("curve"))
-        stats = got.limit(MOST_ANNOTATORS + 1).toPandas()
-        if len(stats) > MOST_ANNOTATORS:
-            raise ValueError("more annotators than the driver keeps")
-        skill = _skills(stats, skill)
-    return skill
+    for _ in range(rounds):
+        got = with_skills(tasks_, skills, carried).mapInArrow(step, "who string, field string, grad double, curve double")
+        got = got.groupBy("who", "field").agg(F.sum("grad").alias("grad"), F.sum("curve").alias("curve")).join(skills, ["who", "field"], "left")
+        old = F.coalesce("alpha", F.lit(1.0))
+        move = F.least(F.greatest((F.col("grad") - 0.5 * (old - 2.0)) / (F.col("curve") + 0.5), F.lit(-1.0)), F.lit(1.0))
+        skills = cut(got.select("who", "field", F.least(F.greatest(old + move, F.lit(-2.0)), F.lit(6.0)).alias("alpha"), F.coalesce("share", F.lit(1.0)).alias("share")))
+    return skills
 
 
-def _weights(tasks_: DataFrame, skill: dict) -> dict:
-    """Weight of each annotator's vote. Where two give the same wrong answer more often than two careful but
-    independent ones would, they repeat each other, and the group of such shares its votes."""
+def wrong_answers(tasks_: DataFrame) -> DataFrame:
+    """(who, field, task, answer, wrong): every vote with hashes of its task and of the answer, and whether the estimate
+    holds it for wrong."""
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            names, task, given, p, *_ = _estimate(b, skill, {})
-            d = pd.DataFrame({"task": task, "who": [w for w, _ in names], "field": [f for _, f in names], "said": given, "wrong": 1 - p})
-            m = d.merge(d, on=["task", "field"])
-            m = m[m["who_x"] < m["who_y"]]
-            if len(m):
-                both = np.minimum(m["wrong_x"], m["wrong_y"])
-                m = m.assign(same=both * (m["said_x"] == m["said_y"]), either=np.maximum(m["wrong_x"], m["wrong_y"]))
-                yield pa.RecordBatch.from_pandas(m.groupby(["who_x", "who_y", "field"], as_index=False)[["same", "either"]].sum(), preserve_index=False)
-
-    got = tasks_.mapInArrow(pairs, "who_x string, who_y string, field string, same double, either double")
-    got = got.groupBy("who_x", "who_y", "field").agg(F.sum("same").alias("same"), F.sum("either").alias("either")).where("same > 0.35 * either AND same >= 3").toPandas()
-    groups: dict = {}
-
-    def root(x):
-        while groups.setdefault(x, x) != x:
-            x = groups[x]
-        return x
-
-    for r in got.itertuples(index=False):
-        groups[root((r.who_x, r.field))] = root((r.who_y, r.field))
-    size = Counter(root(x) for x in list(groups))
-    return {x: 1.0 / size[root(x)] for x in list(groups)}
-
-
-def _pooled(tasks_: DataFrame, skill: dict, weight: dict) -> DataFrame:
+            names, task, given, p, *_ = _estimate(b)
+            at = [b.column(c).to_pandas().to_numpy()[task] for c in ("item_id", "slot")]
+            d = names.assign(item_id=at[0], slot=at[1], given=given.astype(np.int32), wrong=p < 0.5)
+            yield pa.RecordBatch.from_pandas(d, preserve_index=False)
+
+    got = tasks_.mapInArrow(run, "who string, field string, item_id long, slot int, given int, wrong boolean")
+    return got.select("who", "field", F.xxhash64("item_id", "slot").alias("task"), F.xxhash64("item_id", "slot", "given").alias("answer"), "wrong")
+
+
+def _shared(tasks_: DataFrame, skills: DataFrame) -> DataFrame:
+    """``skills`` with the weight of each annotator's vote. Where two give the same wrong answer more often than careful
+    but independent ones would, they repeat each other, and the group of such shares its votes.
+
+    Annotators are described by minima of hashes of their wrong answers; each is compared with the least of those that
+    agree in one of them, so that there are as many comparisons as annotators, not as pairs of them."""
+    votes = cut(wrong_answers(tasks_))
+    bad = votes.where("wrong").select("who", "field", "task", "answer").distinct()
+    mins = bad.groupBy("who", "field").agg(*[F.min(F.xxhash64(F.lit(i), "answer")).alias(f"m{i}") for i in range(HASHES)])
+    flat = cut(mins.select("who", "field", F.posexplode(F.array(*[f"m{i}" for i in range(HASHES)])).alias("i", "m")))
+    least = flat.groupBy("field", "i", "m").agg(F.min("who").alias("other"))
+    pairs = cut(flat.join(least, ["field", "i", "m"]).where("who <> other").select("field", "who", "other").distinct())
+    mine = pairs.join(bad, ["who", "field"])
+    theirs = bad.select(F.col("who").alias("other"), "field", "task", F.col("answer").alias("b"))
+    also = votes.select(F.col("who").alias("other"), "field", "task").distinct()
+    one = mine.join(also, ["other", "field", "task"]).join(theirs, ["other", "field", "task"], "left")
+    one = one.groupBy("field", "who", "other").agg(F.count_if(F.col("answer") == F.col("b")).alias("same"), F.count("*").alias("x"), F.count("b").alias("both"))
+    two = pairs.join(theirs, ["other", "field"]).join(votes.select("who", "field", "task").distinct(), ["who", "field", "task"]).groupBy("field", "who", "other").agg(F.count("*").alias("y"))
+    linked = one.join(two, ["field", "who", "other"]).where((F.col("same") >= LEAST_SAME) & (F.col("same") > SAME * (F.col("x") + F.col("y") - F.col("both"))))
+    groups = components(linked.select(F.xxhash64("field", "who").alias("u"), F.xxhash64("field", "other").alias("v")))
+    size = groups.groupBy("component").agg(F.count("*").alias("n"))
+    weight = groups.join(size, "component").select("node", (1.0 / F.col("n")).alias("w"))
+    named = skills.drop("share").withColumn("node", F.xxhash64("field", "who"))
+    return named.join(weight, "node", "left").select("who", "field", "alpha", F.coalesce("w", F.lit(1.0)).alias("share"))
+
+
+_ALL = ", prior array<double>, alpha array<double>, share array<double>"
+
+
+def _pooled(tasks_: DataFrame) -> DataFrame:
     """Tasks with the prior of each candidate from all tasks on the same word. Votes are summed before the
-    shuffle; a task's own votes are taken out again."""
-
-    def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            names, task, given, p, s, ease, share, post, owner, first = _estimate(b, skill, weight)
-            word, fields = b.column("word").to_pylist(), b.column("field").to_pylist()
-            tokens = b.column("tokens").flatten().to_pylist()
-            d = pd.DataFrame({"word": [word[t] for t in owner], "field": [fields[t] for t in owner], "token": tokens, "mass": post})
-            d = d[d["word"].notna()]
-            if len(d):
-                yield pa.RecordBatch.from_pandas(d.groupby(["word", "field", "token"], as_index=False).sum(), preserve_index=False)
-
-    mass = tasks_.where("word IS NOT NULL").mapInArrow(votes, "word string, field string, token string, mass double").groupBy("word", "field", "token").agg(F.sum("mass").alias("mass"))
+    shuffle; a task's own votes are taken out again. A word that a third of all tasks ask for only meets its few
+    candidates, and the join back may be split."""
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            *_, post, owner, first = _estimate(b, skill, weight)
+            *_, post, _, first, _ = _estimate(b)
             yield b.append_column("own", pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(post)))
 
-    kept = tasks_.mapInArrow(own, _TASKS + ", prior array<double>, own array<double>").drop("prior")
+    kept = cut(tasks_.mapInArrow(own, _TASKS + _ALL + ", own array<double>").drop("prior", "alpha", "share"))
     flat = kept.where("word IS NOT NULL").select("item_id", "field", "slot", "word", F.posexplode(F.arrays_zip("tokens", "own")).alias("k", "x"))
     flat = flat.select("item_id", "field", "slot", "word", "k", F.col("x.tokens").alias("token"), F.col("x.own").alias("own"))
+    mass = flat.groupBy("word", "field", "token").agg(F.sum("own").alias("mass"))
     flat = flat.join(mass, ["word", "field", "token"]).select("item_id", "field", "slot", F.struct("k", (F.greatest(F.col("mass") - F.col("own"), F.lit(0.0)) + 0.5).alias("v")).alias("kv"))
     prior = flat.groupBy("item_id", "field", "slot").agg(F.transform(F.sort_array(F.collect_list("kv")), lambda x: x["v"]).alias("p"))
     out = kept.join(prior, ["item_id", "field", "slot"], "left")
     return out.withColumn("prior", F.coalesce("p", F.transform("tokens", lambda _: F.lit(1.0)))).drop("p", "own")
 
 
-def posteriors(pooled: DataFrame, skill: dict, weight: dict) -> DataFrame:
-    """(item_id, field, slot, token, chance): the likeliest candidate of each task (ties: the lesser text)."""
+def posteriors(learned: DataFrame) -> DataFrame:
+    """(item_id, field, slot, token, chance): every candidate of each task with its chance of being right."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            *_, post, owner, first = _estimate(b, skill, weight)
-            tokens = b.column("tokens").flatten().to_pylist()
-            best = [int(a + np.argmax(post[a:z])) for a, z in zip(first[:-1], first[1:], strict=True)]
+            *_, post, owner, _, _ = _estimate(b)
             yield pa.RecordBatch.from_arrays(
-                [b.column("item_id"), b.column("field"), b.column("slot"), pa.array([tokens[i] for i in best], pa.string()), pa.array(post[best] if best else [], pa.float64())],
+                [pa.array(b.column(c).to_pandas().to_numpy()[owner], t) for c, t in (("item_id", pa.int64()), ("field", pa.string()), ("slot", pa.int32()))] + [b.column("tokens").flatten(), pa.array(post)],
                 names=["item_id", "field", "slot", "token", "chance"],
             )
 
-    return pooled.mapInArrow(run, "item_id long, field string, slot int, token string, chance double")
+    return learned.mapInArrow(run, "item_id long, field string, slot int, token string, chance double")
 
 
-def consensus(answers: DataFrame, items: DataFrame | None = None) -> DataFrame:
-    """(item_id, field, label, chance): the agreed reading of every item and field with enough usable answers.
+def difficulty(learned: DataFrame) -> DataFrame:
+    """(item_id, field, slot, ease, difficulty): what was learned of each task; an ease of 1 is the prior's, difficulty is
+    its inverse."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ease = np.exp(_estimate(b)[-1])
+            yield pa.RecordBatch.from_arrays([b.column("item_id"), b.column("field"), b.column("slot"), pa.array(ease), pa.array(1 / ease)], names=["item_id", "field", "slot", "ease", "difficulty"])
+
+    return learned.mapInArrow(run, "item_id long, field string, slot int, ease double, difficulty double")
+
+
+def learned_tasks(answers: DataFrame, items: DataFrame | None = None) -> DataFrame:
+    return learn(cut(tasks(usable_answers(answers), items)))
+
+
+def consensus(answers: DataFrame, items: DataFrame | None = None, learned: DataFrame | None = None) -> DataFrame:
+    """(item_id, field, label, chance): the agreed reading of every item and field with enough usable answers: of each word
+    the likeliest candidate, of equally likely ones the lesser text; chance is that of its least likely word.
     A single candidate is agreed with chance 1; an empty table gives an empty result."""
-    t = cut(tasks(usable_answers(answers), items))
-    skill, weight, pooled = learn(t)
-    best = posteriors(pooled, skill, weight)
+    every = posteriors(learned_tasks(answers, items) if learned is None else learned)
+    best = every.groupBy("item_id", "field", "slot").agg(F.min(F.struct((-F.col("chance")).alias("c"), "token")).alias("b")).select("item_id", "field", "slot", "b.token", (-F.col("b.c")).alias("chance"))
     joined = best.groupBy("item_id", "field").agg(F.sort_array(F.collect_list(F.struct("slot", "token"))).alias("w"), F.min("chance").alias("chance"))
     label = F.trim(F.regexp_replace(F.array_join(F.transform("w", lambda x: x["token"]), " "), " {2,}", " "))
     return joined.select("item_id", "field", label.alias("label"), "chance")
@@ -300,19 +350,18 @@ def agreement(answers: DataFrame, items: DataFrame | None = None) -> DataFrame:
     return out.select("item_id", "field", "annotators", "observed", F.when(F.col("chance") < 1, (F.col("observed") - F.col("chance")) / (1 - F.col("chance"))).alias("kappa"))
 
 
-def reliability(answers: DataFrame, items: DataFrame | None = None) -> DataFrame:
+def reliability(answers: DataFrame, items: DataFrame | None = None, learned: DataFrame | None = None) -> DataFrame:
     """(provider_id, field, skill, weight, words, right): the learned skill of each annotator, its vote's
     weight, the words it gave and the share of them expected to be right."""
-    t = cut(tasks(usable_answers(answers), items))
-    skill, weight, pooled = learn(t)
+    learned = learned_tasks(answers, items) if learned is None else learned
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            names, _, _, p, *_ = _estimate(b, skill, weight)
-            if names:
-                d = pd.DataFrame({"who": [w for w, _ in names], "field": [f for _, f in names], "n": 1, "p": p}).groupby(["who", "field"], as_index=False).sum()
+            names, _, _, p, *_ = _estimate(b)
+            if len(names):
+                alpha, share = (np.asarray(b.column(c).flatten(), dtype=float) for c in ("alpha", "share"))
+                d = names.assign(skill=alpha, weight=share, n=1, p=p).groupby(["who", "field", "skill", "weight"], as_index=False).sum()
                 yield pa.RecordBatch.from_pandas(d, preserve_index=False)
 
-    got = pooled.mapInArrow(run, "who string, field string, n long, p double").groupBy("who", "field").agg(F.sum("n").alias("words"), (F.sum("p") / F.sum("n")).alias("right"))
-    known = t.sparkSession.createDataFrame([(w, f, float(a), float(weight.get((w, f), 1.0))) for (w, f), a in skill.items()], "who string, field string, skill double, weight double")
-    return got.join(F.broadcast(known), ["who", "field"]).select(F.col("who").alias("provider_id"), "field", "skill", "weight", "words", "right")
+    got = learned.mapInArrow(run, "who string, field string, skill double, weight double, n long, p double")
+    return got.groupBy(F.col("who").alias("provider_id"), "field", "skill", "weight").agg(F.sum("n").alias("words"), (F.sum("p") / F.sum("n")).alias("right"))

@@ -32,7 +32,7 @@ SHARE = 0.0004
 #: answer counts as one.
 READ_WORDS = 0.75
 #: Rounds in which the words of templates are learned; most that one word can say, in nats.
-ROUNDS, MOST = 4, 3.0
+ROUNDS, MOST = 2, 3.0
 SIMILAR = 0.8
 OPENING = 8
 BANDS, ROWS = 20, 4
@@ -139,38 +139,38 @@ def _bands(s: pd.Series) -> pd.Series:
     return pd.Series([bands(x) for x in s], dtype=object)
 
 
-@F.pandas_udf(T.BooleanType())
-def _alike(a: pd.Series, b: pd.Series) -> pd.Series:
-    out = []
-    for x, y in zip(a, b, strict=True):
-        p, q = set(_shingles(x).tolist()), set(_shingles(y).tolist())
-        n = len(p & q)
-        out.append(n >= SIMILAR * (len(p) + len(q) - n))
-    return pd.Series(out, dtype=bool)
+def _like(p: set[int], q: set[int]) -> bool:
+    n = len(p & q)
+    return n >= SIMILAR * (len(p) + len(q) - n)
 
 
 def links(openings: DataFrame) -> DataFrame:
-    """(u, v): verified links of distinct openings. In every MinHash band all are tried with the least; those unlike it
-    with the least of what is left, and so on until each is linked or a head itself. No band is gathered."""
-    left = cut(openings.select("opening", F.explode(_bands("opening")).alias("band")))
-    out = None
-    while True:
-        heads = left.groupBy("band").agg(F.min("opening").alias("head"), F.max("opening").alias("last")).where("head <> last").select("band", "head")
-        tried = left.join(heads, "band").where("opening <> head")
-        # a pair that meets in several bands is verified once
-        pairs = tried.select("opening", "head").distinct()
-        told = cut(tried.join(pairs.withColumn("same", _alike("opening", "head")), ["opening", "head"]))
-        got = told.where("same").select(F.col("opening").alias("u"), F.col("head").alias("v")).distinct()
-        out = got if out is None else out.unionByName(got)
-        left = told.where("NOT same").select("opening", "band")
-        if left.isEmpty():
-            return out.distinct()
+    """(u, v): verified links of distinct openings. In every MinHash band each is tried with all heads so far and is a head
+    itself if it is like none. Bands are streamed in order, never gathered: a task keeps the heads of one band, which are
+    unlike each other."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        band, heads = None, []
+        for b in batches:
+            rows = []
+            for at, x in zip(b["band"], b["opening"], strict=True):
+                if at != band:
+                    band, heads = at, []
+                p = set(_shingles(x).tolist())
+                like = [h for h, q in heads if _like(p, q)]
+                rows += [(x, h) for h in like]
+                if not like:
+                    heads.append((x, p))
+            yield pd.DataFrame(rows, columns=["u", "v"])
+
+    flat = openings.select("opening", F.explode(_bands("opening")).alias("band"))
+    return flat.repartition("band").sortWithinPartitions("band", "opening").mapInPandas(run, "u string, v string").distinct()
 
 
 def clusters(openings: DataFrame) -> DataFrame:
     """(opening, cluster) of distinct openings, connected by verified links."""
     named = openings.select("opening", F.xxhash64("opening").alias("node"))
-    edges = links(openings).select(F.xxhash64("u").alias("u"), F.xxhash64("v").alias("v"))
+    edges = links(openings).select(F.xxhash64("u").alias("u"), F.xxhash64("v").alias("v"))  # told by 64 bits
     found = components(edges)
     return named.join(found, "node", "left").select("opening", F.coalesce("component", "node").alias("cluster"))
 

@@ -31,6 +31,18 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return consensus.consensus(table(spark, d, "translit_results"), table(spark, d, "translit_items")).drop("chance")
 
 
+def _learned(spark: SparkSession, d: str) -> DataFrame:
+    return consensus.learned_tasks(table(spark, d, "translit_results"), table(spark, d, "translit_items"))
+
+
+def p2_posteriors(spark: SparkSession, d: str) -> DataFrame:
+    return consensus.posteriors(_learned(spark, d))
+
+
+def p2_difficulty(spark: SparkSession, d: str) -> DataFrame:
+    return consensus.difficulty(_learned(spark, d))
+
+
 def p2_agreement(spark: SparkSession, d: str) -> DataFrame:
     return consensus.agreement(table(spark, d, "translit_results"), table(spark, d, "translit_items"))
 

@@ -1,8 +1,9 @@
 """Problem 5: noise in the text of scanned pages.
 
-Method: furniture is told by the running title that recurs at the edges of a book's pages; words are checked against
-the other readings of the same page and, by glyph edits, against the dictionary and the words of the book; what is left
-is reflowed into paragraphs.
+Method: skip-gram vectors are learned from the lines. Rare words are linked by glyph edits to frequent ones of the book or
+the dictionary; of these the one that fits the count and, by the vectors, the words around is taken for the printed one,
+where other readings of the page don't tell. Furniture is told by the running title that recurs at the edges of a book's
+pages; what is left is reflowed into paragraphs.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from difflib import SequenceMatcher
 from itertools import combinations
 
 import pandas as pd
+from pyspark.ml.feature import Word2Vec
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +25,10 @@ from .reading import distance, likeness
 
 #: Least likeness of a line to the running title, least share of a book's pages that show it.
 TITLE, SHOWN = 0.7, 0.1
+#: Skip-gram vectors: most words that have one, numbers in it, words on either side; what a likeness of 1 to the context is
+#: worth beside the logarithm of a word's count in the book.
+VECTORS, SIZE, WINDOW = 50_000, 32, 3
+CONTEXT = 2.0
 #: Most occurrences of a misreading for each occurrence of the word in the book.
 RATE = 0.02
 
@@ -102,8 +109,8 @@ def placed(lines: DataFrame, results: DataFrame) -> DataFrame:
     rows = cut(rows.withColumn("bare", F.when((F.col("top") < 2) | (F.col("foot") < 2), _bare("text"))))
     size = rows.groupBy("book_id").agg(F.countDistinct("page").alias("size"))
     shown = rows.where("bare <> ''").groupBy("book_id", "bare").agg(F.countDistinct("page").alias("shown"), F.max((F.col("bare") == F.col("text")).cast("int")).alias("alone"))
-    first = Window.partitionBy("book_id").orderBy(F.desc("shown"), "bare")
-    titles = shown.where("alone = 1 AND shown >= 2").withColumn("k", F.row_number().over(first)).where("k = 1").join(size, "book_id").where(F.col("shown") >= SHOWN * F.col("size")).select("book_id", F.col("bare").alias("title"))
+    most = shown.where("alone = 1 AND shown >= 2").groupBy("book_id").agg(F.min(F.struct((-F.col("shown")).alias("less"), "bare")).alias("x"))
+    titles = most.join(size, "book_id").where(-F.col("x.less") >= SHOWN * F.col("size")).select("book_id", F.col("x.bare").alias("title"))
     rows = rows.join(titles, "book_id", "left").withColumn("header", F.when(F.col("bare").isNotNull(), _like("bare", "title") >= TITLE).otherwise(False))
     number = F.col("text").rlike(f"^(?:{_NUMBER.pattern})$") | (_like("bare", F.lit(PAGE)) >= TITLE) & F.col("text").rlike(f"[0-9۰-۹][)\\]\\-–—*|\\s]*$")
     by_title = F.max(F.col("header").cast("int")).over(w.orderBy("top").rowsBetween(-1, 1)) == 1
@@ -168,6 +175,39 @@ def _foreign(s: pd.Series) -> pd.Series:
     return pd.Series([is_foreign(x) for x in s], dtype=bool)
 
 
+def skip_grams(words: DataFrame, most: int = VECTORS) -> DataFrame:
+    """(word, v): skip-gram vectors of the words as they stand in the lines of all books. Words so rare that more than
+    ``most`` would have one get none: the driver and every task hold the vectors while they are learned."""
+    sizes = words.where("whole <> '' AND part < 2").groupBy("whole").agg(F.count("*").alias("n")).groupBy("n").agg(F.count("*").alias("c"))
+    upto = Window.orderBy(F.desc("n"))  # one row for each count that occurs
+    least = sizes.withColumn("sum", F.sum("c").over(upto)).where(F.col("sum") <= most).agg(F.min("n")).first()[0]
+    spark = words.sparkSession
+    if least is None:
+        return spark.createDataFrame([], "word string, v array<double>")
+    lines = words.where("whole <> '' AND part < 2").groupBy("line_id").agg(F.sort_array(F.collect_list(F.struct("pos", "whole"))).alias("x")).select(F.transform("x", lambda e: e["whole"]).alias("ws"))
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8)
+    model = Word2Vec(inputCol="ws", outputCol="v", vectorSize=SIZE, windowSize=WINDOW, minCount=max(2, int(least)), maxIter=1, numPartitions=min(parts, 32), seed=5)
+    return model.fit(lines).getVectors().select("word", vector_to_array("vector").alias("v"))
+
+
+def in_context(near: DataFrame, words: DataFrame) -> DataFrame:
+    """``near`` (book_id, weak, printed) with ``context``: the likeness of the printed word's vector to those of the words
+    around the weak one, 0 where either is unknown."""
+    vectors = cut(skip_grams(words))
+    weak = near.select("book_id", "weak").distinct()
+    at = words.select("book_id", "line_id", "pos", F.col("whole").alias("weak")).join(weak, ["book_id", "weak"]).select("book_id", "weak", "line_id", F.col("pos").alias("at"))
+    around = at.join(words.select("line_id", "pos", F.col("whole").alias("word")), "line_id").where((F.col("pos") != F.col("at")) & (F.abs(F.col("pos") - F.col("at")) <= WINDOW))
+    sums = around.join(vectors, "word").select("book_id", "weak", F.posexplode("v").alias("i", "x")).groupBy("book_id", "weak", "i").agg(F.sum("x").alias("x"))
+    mean = sums.groupBy("book_id", "weak").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda e: e["x"]).alias("a"))
+    both = near.join(mean, ["book_id", "weak"], "left").join(vectors.select(F.col("word").alias("printed"), F.col("v").alias("b")), "printed", "left")
+
+    def dot(x: str, y: str):
+        return F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, z: s + z)
+
+    norm = F.sqrt(dot("a", "a")) * F.sqrt(dot("b", "b"))
+    return both.withColumn("context", F.coalesce(F.when(norm > 0, dot("a", "b") / norm), F.lit(0.0))).drop("a", "b")
+
+
 def judged(rows: DataFrame, dictionary: DataFrame) -> DataFrame:
     """The words of :func:`placed` lines with ``misread`` and the word that was likely printed."""
     words = rows.groupBy("page").applyInPandas(read_page, _WORDS)
@@ -186,7 +226,9 @@ def judged(rows: DataFrame, dictionary: DataFrame) -> DataFrame:
     near = near.unionByName(weak.where("times = 1").join(listed, "key").select("book_id", "weak", "times", "times_all", "printed", "n", "all")).where("weak <> printed").groupBy("book_id", "weak", "times", "times_all", "printed").agg(F.max("n").alias("n"), F.max("all").alias("all"))
     near = near.where((F.col("times") == 1) | (F.col("times") <= RATE * F.col("n"))).where((F.col("times_all") <= 2) | (F.col("times_all") <= RATE * F.col("all"))).withColumn("edits", _edits("weak", "printed"))
     near = near.where((F.col("edits") <= 1) | (F.col("edits") == 2) & (F.length("weak") >= 6))
-    best = near.groupBy("book_id", F.col("weak").alias("whole")).agg(F.min(F.struct("edits", (-F.col("n")).alias("rank"), "printed")).alias("x")).select("book_id", "whole", F.col("x.printed").alias("printed"))
+    near = in_context(near, words)
+    fit = F.log1p("n") + CONTEXT * F.col("context")
+    best = near.groupBy("book_id", F.col("weak").alias("whole")).agg(F.min(F.struct("edits", (-fit).alias("rank"), "printed")).alias("x")).select("book_id", "whole", F.col("x.printed").alias("printed"))
     strength = vocab.select("book_id", "whole", (F.col("n") + F.when(F.col("known"), 1_000_000).otherwise(0)).alias("strength"))
     out = words.join(strength, ["book_id", "whole"], "left").join(strength.select("book_id", F.col("whole").alias("rest"), F.col("strength").alias("rival")), ["book_id", "rest"], "left").join(best, ["book_id", "whole"], "left")
     zero = F.lit(0)
