@@ -12,7 +12,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -20,10 +20,10 @@ from .common import cut
 TOKENIZERS = os.environ.get("TARKIB_TOKENIZERS", "/opt/tokenizers")
 #: The pattern of the byte-level tokenizers, with Unicode white space for Java.
 WORD = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Most distinct words that are broadcast (with at most WORD_CHARS characters each, some 30 MB); rarer and
-#: longer ones are joined by a shuffle.
+#: Most distinct words that are broadcast, the commonest ones, with at most WORD_IDS ids each (some 40 MB); all others are
+#: joined by a shuffle. The results are the same.
 HEAD_WORDS = 200_000
-WORD_CHARS = 48
+WORD_IDS = 32
 
 
 @lru_cache(maxsize=4)
@@ -53,8 +53,13 @@ def keyed(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     )
 
 
+def word_key(word: Column) -> list[Column]:
+    """Two hashes that stand for a word in joins, however long it is."""
+    return [F.xxhash64(word).alias("k1"), F.xxhash64(F.lit("again"), word).alias("k2")]
+
+
 def word_table(words: DataFrame, path: str) -> DataFrame:
-    """(word, n, ids): each distinct word with its count and ids; ``words`` has a column ``word``."""
+    """(k1, k2, n, ids): the key of each distinct word with its count and ids; ``words`` has a column ``word``."""
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         code = encoder(path).encode_ordinary
@@ -62,23 +67,30 @@ def word_table(words: DataFrame, path: str) -> DataFrame:
             yield b.assign(ids=[code(w) for w in b["word"]])
 
     counted = words.groupBy("word").agg(F.count("*").alias("n"))
-    return cut(counted.mapInPandas(encode, "word string, n long, ids array<int>"))
+    return cut(counted.mapInPandas(encode, "word string, n long, ids array<int>").select(*word_key(F.col("word")), "n", "ids"))
 
 
 def with_ids(words: DataFrame, known: DataFrame, head_words: int = HEAD_WORDS) -> list[DataFrame]:
-    """``words`` (with ``word``) joined to its ids, in parts that make up the whole. Frequent words meet a
-    broadcast table of bounded size; where there are more, the rest, rare by construction, is shuffled."""
-    short = F.length("word") <= WORD_CHARS
-    if known.where(short).count() <= head_words:
-        head = known.where(short).select("word", "ids")
-    else:
-        head = known.where(short).orderBy(F.desc("n"), "word").limit(head_words).select("word", "ids")
-    if known.where(~short).isEmpty() and known.count() <= head_words:
-        return [words.join(F.broadcast(head), "word", "left")]
-    hit = words.join(F.broadcast(head), "word", "left")
-    missing = hit.where("ids IS NULL AND word IS NOT NULL").drop("ids")
-    tail = known.select("word", "ids").join(F.broadcast(head.select("word")), "word", "left_anti")
-    return [hit.where("ids IS NOT NULL OR word IS NULL"), missing.join(tail, "word", "left")]
+    """``words`` (with k1, k2; NULL for no word) joined to its ids, in parts that make up the whole. The commonest words
+    meet a broadcast table of bounded size; the rest is shuffled."""
+    small = F.size("ids") <= WORD_IDS
+    every = known.count()
+    short = known.where(small)
+    head = short if every <= head_words else short.orderBy(F.desc("n"), "k1", "k2").limit(head_words)
+    head = cut(head.select("k1", "k2", "ids"))
+    hit = words.join(F.broadcast(head), ["k1", "k2"], "left")
+    if head.count() == every:
+        return [hit]
+    missing = hit.where("ids IS NULL AND k1 IS NOT NULL").drop("ids")
+    tail = known.select("k1", "k2", "ids").join(F.broadcast(head.select("k1", "k2")), ["k1", "k2"], "left_anti")
+    return [hit.where("ids IS NOT NULL OR k1 IS NULL"), missing.join(tail, ["k1", "k2"], "left").select(*hit.columns)]
+
+
+def _split(docs: DataFrame) -> DataFrame:
+    """(doc_id, h, pos, k1, k2) of the words of texts; one row without a word for a text that has none."""
+    found = docs.select("doc_id", "h", F.posexplode_outer(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("pos", "word"))
+    key = [F.when(F.col("word").isNotNull(), k).alias(n) for k, n in zip(word_key(F.col("word")), ("k1", "k2"), strict=True)]
+    return found.select("doc_id", "h", "pos", *key)
 
 
 def encode_corpus(df: DataFrame, doc_id: str = "doc_id", text: str = "text", name: str = "byte_bpe_50k", folder: str = TOKENIZERS, head_words: int = HEAD_WORDS) -> DataFrame:
@@ -88,7 +100,7 @@ def encode_corpus(df: DataFrame, doc_id: str = "doc_id", text: str = "text", nam
     docs = keyed(df, doc_id, text)
     every = df.select(F.explode(F.regexp_extract_all(F.col(f"`{text}`"), F.lit(WORD), F.lit(0))).alias("word"))
     known = word_table(every, vocabulary_path(name, folder))
-    words = docs.select("doc_id", "h", F.posexplode_outer(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("pos", "word"))
+    words = _split(docs)
     parts = with_ids(words, known, head_words)
     placed = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     ids = placed.groupBy("doc_id", "h").agg(F.sort_array(F.collect_list(F.struct("pos", "ids"))).alias("w"))
@@ -98,12 +110,11 @@ def encode_corpus(df: DataFrame, doc_id: str = "doc_id", text: str = "text", nam
 def token_counts(df: DataFrame, doc_id: str, text: str, name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
     """(doc_id, h, tokens) by the same word table, summed map-side."""
     docs = keyed(df, doc_id, text)
-    every = docs.select("doc_id", "h", F.explode_outer(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("word"))
-    known = word_table(every.where("word IS NOT NULL").select("word"), vocabulary_path(name, folder))
-    known = known.select("word", "n", F.size("ids").alias("ids"))
+    every = docs.select(F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("word"))
+    known = word_table(every, vocabulary_path(name, folder))
     out = None
-    for part in with_ids(every, known):
-        got = part.groupBy("doc_id", "h").agg(F.sum(F.coalesce("ids", F.lit(0))).alias("tokens"))
+    for part in with_ids(_split(docs), known):
+        got = part.groupBy("doc_id", "h").agg(F.sum(F.when(F.col("ids").isNotNull(), F.size("ids")).otherwise(0)).alias("tokens"))
         out = got if out is None else out.unionByName(got).groupBy("doc_id", "h").agg(F.sum("tokens").alias("tokens"))
     return out
 
