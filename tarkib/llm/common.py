@@ -121,7 +121,7 @@ def java_class(points: Iterable[int]) -> str:
 _LETTER = "\u0915-\u0927\u092A-\u092F\u0932\u0935-\u0939"
 _PLACED = f"(?<![{_LETTER}])\u093C|(?<![\u0904-\u0939\u093C])\u094D"
 #: An unstable stretch: a letter that may be the base of what follows, then unstable characters and further marks.
-_STRETCH = re.compile(f".?(?:[^{_body(stable_points())}]|{_PLACED})(?:[^{_body(stable_points())}]|[\u093C\u094D])*", re.S)
+_STRETCH = re.compile(f".?[\u093C\u094D]*(?:[^{_body(stable_points())}]|{_PLACED})(?:[^{_body(stable_points())}]|[\u093C\u094D])*", re.S)
 
 
 def canon(text: str | None) -> str | None:
