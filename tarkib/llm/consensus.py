@@ -32,7 +32,7 @@ CARRIED = 100_000
 #: answer, and least number of these. Independent ones of the kinds met are below 0.2, copies above 0.6.
 SAME, LEAST_SAME = 0.35, 3
 #: Minima of so many hashes of its wrong answers describe an annotator.
-HASHES = 64
+HASHES = 32
 
 
 def clean(text: str | None, field: str) -> str | None:
@@ -165,17 +165,22 @@ def _estimate(b: pa.RecordBatch) -> tuple:
 
 
 _SKILLS = "who string, field string, alpha double, share double"
+#: Skills (who, field, alpha, share): held by the driver where there are few, a table where there are many.
+Skills = pd.DataFrame | DataFrame
 
 
-def with_skills(tasks_: DataFrame, skills: DataFrame, carried: int = CARRIED) -> DataFrame:
+def _held(skills: DataFrame, carried: int) -> Skills:
+    """At most ``carried`` rows as they are, more as a table."""
+    skills = cut(skills)
+    few = skills.limit(carried + 1).toPandas()
+    return few if len(few) <= carried else skills
+
+
+def with_skills(tasks_: DataFrame, skills: Skills) -> DataFrame:
     """``tasks_`` with arrays alpha and share beside ``who``: each annotator's skill and the weight of its vote, 1 and 1
-    for one not in ``skills`` (who, field, alpha, share)."""
-    known = skills.limit(carried + 1).toPandas()
-    ones = F.transform("who", lambda _: F.lit(1.0))
-    if known.empty:
-        return tasks_.withColumn("alpha", ones).withColumn("share", ones)
-    if len(known) <= carried:
-        table = {(w, f): (a, s) for w, f, a, s in known.itertuples(index=False)}
+    for one not in ``skills``."""
+    if isinstance(skills, pd.DataFrame):
+        table = {(w, f): (a, s) for w, f, a, s in skills.itertuples(index=False)}
 
         def attach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -204,15 +209,19 @@ def learn(tasks_: DataFrame, rounds: int = ROUNDS, carried: int = CARRIED) -> Da
     """The tasks with columns alpha, share and ``prior``, the latter the share of each candidate among the reliable votes on
     the same word in all items. ``tasks_`` should be cut."""
     plain = tasks_.withColumn("prior", F.transform("tokens", lambda _: F.lit(1.0)))
-    none = tasks_.sparkSession.createDataFrame([], _SKILLS)
+    none = pd.DataFrame({n: pd.Series(dtype=t) for n, t in (("who", object), ("field", object), ("alpha", float), ("share", float))})
     skills = _rounds(plain, none, rounds // 2, carried)
-    skills = cut(_shared(with_skills(plain, skills, carried), skills))
-    pooled = cut(_pooled(with_skills(plain, skills, carried)))
+    skills = _held(_shared(with_skills(plain, skills), _table(tasks_, skills)), carried)
+    pooled = cut(_pooled(with_skills(plain, skills)))
     skills = _rounds(pooled, skills, rounds - rounds // 2, carried)
-    return cut(with_skills(pooled, skills, carried))
+    return cut(with_skills(pooled, skills))
+
+
+def _table(tasks_: DataFrame, skills: Skills) -> DataFrame:
+    return tasks_.sparkSession.createDataFrame(skills, _SKILLS) if isinstance(skills, pd.DataFrame) else skills
 
 
-def _rounds(tasks_: DataFrame, skills: DataFrame, rounds: int, carried: int) -> DataFrame:
+def _rounds(tasks_: DataFrame, skills: Skills, rounds: int, carried: int) -> Skills:
     """``skills`` after so many rounds: in each a Newton step of every annotator's skill, with a prior around 2."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,11 +232,19 @@ def _rounds(tasks_: DataFrame, skills: DataFrame, rounds: int, carried: int) ->
                 yield pa.RecordBatch.from_pandas(d.groupby(["who", "field"], as_index=False).sum(), preserve_index=False)
 
     for _ in range(rounds):
-        got = with_skills(tasks_, skills, carried).mapInArrow(step, "who string, field string, grad double, curve double")
-        got = got.groupBy("who", "field").agg(F.sum("grad").alias("grad"), F.sum("curve").alias("curve")).join(skills, ["who", "field"], "left")
+        got = with_skills(tasks_, skills).mapInArrow(step, "who string, field string, grad double, curve double")
+        got = got.groupBy("who", "field").agg(F.sum("grad").alias("grad"), F.sum("curve").alias("curve"))
+        few = got.limit(carried + 1).toPandas() if isinstance(skills, pd.DataFrame) else None
+        if few is not None and len(few) <= carried:
+            d = few.merge(skills, "left", ["who", "field"])
+            old = d["alpha"].astype(float).fillna(1.0)
+            move = ((d["grad"] - 0.5 * (old - 2.0)) / (d["curve"] + 0.5)).clip(-1.0, 1.0)
+            skills = pd.DataFrame({"who": d["who"], "field": d["field"], "alpha": (old + move).clip(-2.0, 6.0), "share": d["share"].astype(float).fillna(1.0)})
+            continue
+        met = got.join(_table(tasks_, skills), ["who", "field"], "left")
         old = F.coalesce("alpha", F.lit(1.0))
         move = F.least(F.greatest((F.col("grad") - 0.5 * (old - 2.0)) / (F.col("curve") + 0.5), F.lit(-1.0)), F.lit(1.0))
-        skills = cut(got.select("who", "field", F.least(F.greatest(old + move, F.lit(-2.0)), F.lit(6.0)).alias("alpha"), F.coalesce("share", F.lit(1.0)).alias("share")))
+        skills = cut(met.select("who", "field", F.least(F.greatest(old + move, F.lit(-2.0)), F.lit(6.0)).alias("alpha"), F.coalesce("share", F.lit(1.0)).alias("share")))
     return skills
 
 
@@ -254,8 +271,8 @@ def _shared(tasks_: DataFrame, skills: DataFrame) -> DataFrame:
     agree in one of them, so that there are as many comparisons as annotators, not as pairs of them."""
     votes = cut(wrong_answers(tasks_))
     bad = votes.where("wrong").select("who", "field", "task", "answer").distinct()
-    mins = bad.groupBy("who", "field").agg(*[F.min(F.xxhash64(F.lit(i), "answer")).alias(f"m{i}") for i in range(HASHES)])
-    flat = cut(mins.select("who", "field", F.posexplode(F.array(*[f"m{i}" for i in range(HASHES)])).alias("i", "m")))
+    hashes = F.posexplode(F.transform(F.sequence(F.lit(1), F.lit(HASHES)), lambda i: F.xxhash64(i, "answer")))
+    flat = cut(bad.select("who", "field", hashes.alias("i", "h")).groupBy("who", "field", "i").agg(F.min("h").alias("m")))
     least = flat.groupBy("field", "i", "m").agg(F.min("who").alias("other"))
     pairs = cut(flat.join(least, ["field", "i", "m"]).where("who <> other").select("field", "who", "other").distinct())
     mine = pairs.join(bad, ["who", "field"])

@@ -12,7 +12,11 @@ from .common import table
 
 
 def _shares(spark: SparkSession, d: str) -> dict[str, float]:
-    return {r.split: float(r.share) for r in table(spark, d, "split_targets").where("split IS NOT NULL AND share > 0").collect()}
+    """The wanted splits, a fixed table of a few rows; more than a hundred are taken for a mistake."""
+    rows = table(spark, d, "split_targets").where("split IS NOT NULL AND share > 0").limit(101).collect()
+    if len(rows) > 100:
+        raise ValueError("more than a hundred splits")
+    return {r.split: float(r.share) for r in rows}
 
 
 def _overlaps(spark: SparkSession, d: str) -> DataFrame:
@@ -55,15 +59,17 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return splits.same_group_names(table(spark, d, "teacher_labels"))
 
 
-def p3_splits(spark: SparkSession, d: str) -> DataFrame:
+def _assigned(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "teacher_labels").select("label_id", "id", "src", "grp").distinct()
-    return splits.assign(splits.with_component(rows, "src", "grp", ["id"]), _shares(spark, d)).select("label_id", "split")
+    return splits.assign(splits.with_component(rows, "src", "grp", ["id"], ["label_id"]), _shares(spark, d))
+
+
+def p3_splits(spark: SparkSession, d: str) -> DataFrame:
+    return _assigned(spark, d).select("label_id", "split")
 
 
 def p3_report(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "teacher_labels").select("label_id", "id", "src", "grp").distinct()
-    got = splits.assign(splits.with_component(rows, "src", "grp", ["id"]), _shares(spark, d))
-    return got.groupBy("split").agg(F.count("*").alias("rows"), F.countDistinct("component").alias("components"))
+    return _assigned(spark, d).groupBy("split").agg(F.count("*").alias("rows"), F.countDistinct("component").alias("components"))
 
 
 _ALIKE = (("ocr_results", "result_id", "text", "page_id"), ("test", "test_id", "urdu", None), ("translit_results", "result_id", "devanagari", "item_id"))
