@@ -130,8 +130,10 @@ def _pairs(a: list[str], b: list[str]) -> list[str | None]:
     return out
 
 
-def _fit(a: list[str], b: list[str]) -> float:
-    return (Counter(a) & Counter(b)).total() / max(len(a), len(b), 1)
+def _fit(a: Counter, b: Counter, longer: int) -> float:
+    """Share of the longer line's words that both lines have."""
+    few, many = (a, b) if len(a) <= len(b) else (b, a)
+    return sum(min(n, many[w]) for w, n in few.items() if w in many) / max(longer, 1)
 
 
 def read_page(page: pd.DataFrame) -> pd.DataFrame:
@@ -141,21 +143,29 @@ def read_page(page: pd.DataFrame) -> pd.DataFrame:
     sheets: dict[int, list] = {}
     for r in page.itertuples(index=False):
         ws = r.text.split()
-        sheets.setdefault(r.result_id, []).append((r, [core(w) for w in ws], ws))
+        cs = [core(w) for w in ws]
+        sheets.setdefault(r.result_id, []).append((r, cs, ws, Counter(cs)))
     rows = []
     for rid, sheet in sheets.items():
-        body = [i for i, (r, _, _) in enumerate(sheet) if not (r.header or r.page_number)]
+        body = [i for i, (r, *_) in enumerate(sheet) if not (r.header or r.page_number)]
         after = dict(zip(body, body[1:], strict=False))
         broken = {i for i in body if i in after and sheet[i][2] and sheet[after[i]][2] and sheet[i][2][-1][-1] in HYPHENS and _LETTER.search(sheet[i][1][-1])}
         tail = {after[i] for i in broken}
-        for i, (r, cs, ws) in enumerate(sheet):
+        for i, (r, cs, ws, bag) in enumerate(sheet):
             seen = []
             for other, far in sheets.items():
                 if other == rid:
                     continue
-                k = i if i < len(far) and _fit(cs, far[i][1]) >= 0.5 else max(range(len(far)), key=lambda k: (_fit(cs, far[k][1]), len(cs) == len(far[k][1]), -abs(k - i)))
+                if i < len(far) and far[i][1] == cs and cs:
+                    seen.append(cs)
+                    continue
+
+                def fit(k: int, far=far, cs=cs, bag=bag) -> float:
+                    return _fit(bag, far[k][3], max(len(cs), len(far[k][1])))
+
+                k = i if i < len(far) and fit(i) >= 0.5 else max(range(len(far)), key=lambda k: (fit(k), len(cs) == len(far[k][1]), -abs(k - i)))
                 alone = len(cs) == len(far[k][1]) and len(far) == len(sheet) and k == i
-                if _fit(cs, far[k][1]) >= 0.5 or alone:
+                if alone or fit(k) >= 0.5:
                     seen.append(_pairs(cs, far[k][1]))
             for p, c in enumerate(cs):
                 votes = Counter(s[p] for s in seen if s[p])
