@@ -252,6 +252,12 @@ def output_readings(script: str):
     return run
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def assigned(hints: pd.Series, lines: pd.Series) -> pd.Series:
+    """``assign_lines`` of arrays; NULL where one is NULL."""
+    return pd.Series([assign_lines(list(h), list(x), len(h)) if h is not None and x is not None else None for h, x in zip(hints, lines, strict=True)], dtype=object)
+
+
 @F.pandas_udf(T.StringType())
 def fault(urdu: pd.Series, deva: pd.Series, back: pd.Series) -> pd.Series:
     """The fault of a reading, '' for none; NULL texts count as ''."""

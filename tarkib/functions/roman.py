@@ -509,6 +509,26 @@ def roman_to_deva(word: str | None) -> str | None:
     return out or None
 
 
+# --- repair of other engines' output ---------------------------------------------------------------
+# Letters of scholarly Roman in the two house styles.
+_SCHOLARLY = {"ā": "aa", "ī": "i", "ū": "u", "ē": "e", "ō": "o", "ṃ": "n", "ṅ": "n", "ñ": "n", "ṇ": "n", "ṛ": "r", "ṭ": "t", "ḍ": "d", "ś": "sh", "ṣ": "sh", "ḥ": "h", "ġ": "gh"}
+_SCHOLARLY_MARKED = {"ē": "e", "ō": "o", "ṃ": "ñ", "ṅ": "ñ", "ñ": "ñ", "ṇ": "ñ", "ś": "sh", "ṣ": "sh", "ḥ": "h"}
+
+
+def from_scholarly(text: str, keep_marks: bool = False) -> str:
+    """Scholarly Roman in plain or, with ``keep_marks``, marked house style: lower case, blanks single."""
+    table = str.maketrans(_SCHOLARLY_MARKED if keep_marks else _SCHOLARLY)
+    s = unicodedata.normalize("NFC", text).translate(table)
+    s = re.sub("ch?", lambda m: "chh" if len(m.group()) == 2 else "ch", s)
+    s = "".join(c for c in (s if keep_marks else unicodedata.normalize("NFD", s)) if not unicodedata.combining(c))
+    return " ".join(re.sub("[_ʼ']", "", s).split()).lower()
+
+
+def without_urdu(text: str, letters: dict[str, str]) -> str:
+    """Output without any Perso-Arabic character: each replaced by the table or dropped."""
+    return re.sub("[\u0600-\u06ff]", lambda m: letters.get(m.group(), ""), text)
+
+
 # --- Arrow UDFs -----------------------------------------------------------------------------------
 def udf1(f, kind: T.DataType = T.StringType()):
     @F.pandas_udf(kind)

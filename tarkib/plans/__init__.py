@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("text_queries", "lookup_queries", "vote_queries", "set_queries", "score_queries", "layout_queries", "reading_queries", "engine_queries")
+FAMILIES = ("text_queries", "lookup_queries", "vote_queries", "set_queries", "score_queries", "layout_queries", "reading_queries", "engine_queries", "table_queries")
 
 
 def load() -> None:

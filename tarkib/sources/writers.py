@@ -36,16 +36,14 @@ def training_tsv(df: DataFrame, path: str, split: str) -> None:
     df.select(F.col(split), F.concat_ws("\t", *flat).alias("value")).write.mode("overwrite").partitionBy(split).text(path)
 
 
-def append_new(rows: DataFrame, path: str, key: str) -> DataFrame:
-    """Appends as JSON the rows whose key isn't there yet, once each, and gives them: a run taken up again."""
+def append_new(rows: DataFrame, path: str, key: str) -> None:
+    """Appends as JSON the rows whose key isn't there yet, once each: a run taken up again."""
     spark = rows.sparkSession
     try:
         done = spark.read.schema(rows.schema).json(path)
     except Exception:  # noqa: BLE001 - nothing there yet
         done = spark.createDataFrame([], rows.schema)
-    new = without(rows, done, key).dropDuplicates([key])
-    new.write.mode("append").json(path)
-    return new
+    without(rows, done, key).dropDuplicates([key]).write.mode("append").json(path)
 
 
 def missing_references(fixtures: DataFrame, references: DataFrame, key: str, refresh: bool = False) -> DataFrame:
