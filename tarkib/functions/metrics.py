@@ -16,8 +16,19 @@ from .text import words
 _FIRST, _FIT = 19968, 35_000
 
 
+#: Longer texts are compared bit-parallel in Python, which takes a step for each letter of one of them only.
+_LONG = 256
+
+
+@F.pandas_udf(T.IntegerType())
+def _long_errors(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None or y is None else distance(x, y) for x, y in zip(a, b, strict=True)], dtype="Int32")
+
+
 def char_errors(ref: Column, hyp: Column) -> Column:
-    return F.levenshtein(ref, hyp)
+    """Edit distance of two texts of any length."""
+    long_ = F.least(F.length(ref), F.length(hyp)) > _LONG
+    return F.when(long_, _long_errors(F.when(long_, ref), F.when(long_, hyp))).otherwise(F.levenshtein(ref, hyp))
 
 
 def _rate(errors: Column, size: Column, hyp_size: Column) -> Column:
@@ -36,13 +47,16 @@ def _many_errors(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def token_errors(a: Column, b: Column) -> Column:
     """Edit distance of two arrays of words: each distinct word is one character for ``levenshtein``."""
-    known = F.array_distinct(F.concat(a, b))
 
-    def coded(x: Column) -> Column:
+    def coded(x: Column, known: Column) -> Column:
         return F.array_join(F.transform(x, lambda t: F.decode(F.unhex(F.hex(F.lit(_FIRST) + F.array_position(known, t))), "UTF-16BE")), "")
 
-    fits = F.size(known) < _FIT
-    return F.when(fits, F.levenshtein(coded(a), coded(b))).otherwise(_many_errors(F.when(~fits, a), F.when(~fits, b)))
+    # one element to bind the arrays to, which would else be made anew for every word
+    bound = F.array(F.struct(a.alias("a"), b.alias("b"), F.array_distinct(F.concat(a, b)).alias("k")))
+    short = F.get(F.transform(bound, lambda s: F.levenshtein(coded(s["a"], s["k"]), coded(s["b"], s["k"]))), 0)
+    fits = F.least(F.size(a), F.size(b)) <= _LONG
+    small = fits & (F.size(a) + F.size(b) < _FIT)
+    return F.when(small, short).when(a.isNotNull() & b.isNotNull(), _many_errors(F.when(~small, a), F.when(~small, b)))
 
 
 def wer(ref: Column, hyp: Column) -> Column:

@@ -23,7 +23,7 @@ def errors(ref: Column, hyp: Column) -> Column:
     """struct of the numbers that rates are made of: whole numbers, safe to sum."""
     r, h = words(ref), words(hyp)
     return F.struct(
-        F.levenshtein(ref, hyp).cast("long").alias("char_errors"),
+        metrics.char_errors(ref, hyp).cast("long").alias("char_errors"),
         F.length(ref).cast("long").alias("chars"),
         metrics.token_errors(r, h).cast("long").alias("word_errors"),
         F.size(r).cast("long").alias("words"),

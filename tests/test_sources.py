@@ -125,6 +125,15 @@ def test_streams(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "o")).count() == 3 and told[0] == {"progress": 0}
 
 
+def test_errors_of_short_and_long_texts(spark):
+    from tarkib.functions import metrics
+
+    texts = [("", ""), ("", "ab"), ("ab cd", "ab xd"), ("ب" * 300 + " x", "ب" * 299 + " y"), ("a b " * 200, "a c " * 200), (None, "a")]
+    df = spark.createDataFrame(texts, "r string, h string")
+    got = df.select(metrics.char_errors(F.col("r"), F.col("h")).alias("c"), metrics.cer(F.col("r"), F.col("h")).alias("e"), metrics.wer(F.col("r"), F.col("h")).alias("w")).collect()
+    assert [x.c for x in got] == [0, 2, 1, 2, 200, None] and [x.e for x in got][:3] == [0.0, 1.0, 0.2] and [x.w for x in got][:5] == [0.0, 1.0, 0.5, 1.0, 0.5]
+
+
 def test_engines_and_recognition(spark):
     r = engines.Registry()
     r.add(engines.Engine("slow", "translit", "Slow", lambda x: __import__("time").sleep(3) or "x"))
