@@ -6,7 +6,8 @@ more than two texts share a seed, or two share it several times, their pairs are
 the wanted length around such seeds becomes a seed of its own, so that only texts that share a span meet.
 
 Exact copies are one class: seeds, pairs and chains work on classes, members are expanded at the end only. How much of
-a text stands elsewhere, word for word, is counted from the windows alone, without pairs.
+a text stands elsewhere is counted without pairs: word for word from the windows, in fuzzy passages from links, each the
+last window of one exact stretch and the first of the next, by which all texts that have both meet at once.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from .common import bit_filtered, cut
 SPAN = 120
 K = 60
 GAP_COST = 0.5
-#: Longest gap between two seeds of a fuzzy passage, in characters.
+#: Longest gap between two exact stretches of a fuzzy passage, in characters.
 GAP = 200
 
 _B = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -178,9 +179,9 @@ def chains(parts: list[tuple[int, int, int]], cost: float = GAP_COST) -> list[li
     return out
 
 
-def window_table(texts: DataFrame, seeds: DataFrame, k: int = K, span: int = SPAN) -> DataFrame:
-    """(w, w2, c, p): every window of ``span`` characters around a shared seed, by two hashes, that stands in more than
-    one class."""
+def _windows(texts: DataFrame, seeds: DataFrame, k: int, span: int) -> DataFrame:
+    """(w, w2, c, p, before, after): every window of ``span`` characters around a shared seed, by two hashes, and the
+    characters on either side, NULL at an end of the text."""
     places = seeds.groupBy("c").agg(F.collect_set("p").alias("ps"))  # as many as one text has
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -194,13 +195,35 @@ def window_table(texts: DataFrame, seeds: DataFrame, k: int = K, span: int = SPA
                 np.add.at(near, np.minimum(ps + 1, len(points)), -1)
                 at = np.flatnonzero(np.cumsum(near)[: len(points) - span + 1] > 0)
                 w, w2 = kmer_hashes(points, span)[at], kmer_hashes(points[::-1] * np.uint32(31) + np.uint32(7), span)[::-1][at]
-                yield pd.DataFrame({"w": w.view(np.int64), "w2": w2.view(np.int64), "c": np.full(len(at), c, dtype=np.int64), "p": at.astype(np.int32)})
+                around = np.concatenate([[-1], points.astype(np.int32), [-1]]).astype(np.int32)
+                yield pd.DataFrame({"w": w.view(np.int64), "w2": w2.view(np.int64), "c": np.full(len(at), c, dtype=np.int64), "p": at.astype(np.int32), "before": around[at], "after": around[at + span + 1]})
+
+    got = bit_filtered(texts, "c", seeds, "c").join(places, "c").dropDuplicates(["c"]).mapInPandas(run, "w long, w2 long, c long, p int, before int, after int")
+    return got.withColumns({x: F.expr(f"nullif({x}, -1)") for x in ("before", "after")})
+
 
-    windows = cut(bit_filtered(texts, "c", seeds, "c").join(places, "c").dropDuplicates(["c"]).mapInPandas(run, "w long, w2 long, c long, p int"))
+def window_table(texts: DataFrame, seeds: DataFrame, k: int = K, span: int = SPAN) -> DataFrame:
+    """(w, w2, c, p, lo, who, times): every window of ``span`` characters around a shared seed, by two hashes, that stands
+    in more than one class; who: which classes, as often as each has it."""
+    windows = cut(_windows(texts, seeds, k, span).drop("before", "after"))
     several = windows.groupBy("w", "w2").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.bit_xor(F.xxhash64("c")).alias("who"), F.count("*").alias("times")).where("lo <> hi")
     return windows.join(several, ["w", "w2"]).select("w", "w2", "c", "p", "lo", "who", "times")
 
 
+def edge_table(texts: DataFrame, span: int) -> DataFrame:
+    """(w, w2, c, p, ends, begins): windows of ``span`` characters in more than one class that don't everywhere go on, or
+    weren't everywhere begun, by the same character: the last and first of each exact stretch of ``span`` or more."""
+    k = (span + 1) // 2
+    windows = cut(_windows(texts, seed_table(texts, k, span), k, span))
+    several = windows.groupBy("w", "w2").agg(
+        F.min("c").alias("lo"),
+        F.max("c").alias("hi"),
+        F.coalesce(F.min("after") != F.max("after"), F.lit(False)).alias("ends"),
+        F.coalesce(F.min("before") != F.max("before"), F.lit(False)).alias("begins"),
+    )
+    return windows.join(several.where("lo <> hi AND (ends OR begins)").drop("lo", "hi"), ["w", "w2"]).drop("before", "after")
+
+
 def starts(windows: DataFrame) -> DataFrame:
     """Windows at which a shared run begins: those whose classes aren't those of the window before it in the text of the
     least class. The rest would only repeat the pairs of the window they follow."""
@@ -313,16 +336,6 @@ def _together(a: str, b: str) -> int:
     return next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
 
 
-def seed_stars(seeds: DataFrame) -> DataFrame:
-    """(ca, cb, m): each class that has a seed with the least class that has it, and the places; so many rows as seeds,
-    however many classes share one. Of a seed that stands several times in the least class the first place counts, and the
-    same of the other, so that a refrain doesn't square."""
-    first = seeds.groupBy("h", "c").agg(F.min("p").alias("p"))
-    least = first.groupBy("h").agg(F.min(F.struct("c", "p")).alias("l")).select("h", "l.c", "l.p")
-    star = first.join(least.select("h", F.col("c").alias("ca"), F.col("p").alias("pa")), "h").where("c <> ca")
-    return star.groupBy("ca", F.col("c").alias("cb")).agg(F.collect_list(F.struct(F.col("pa").alias("p"), F.col("p").alias("q"))).alias("m"))
-
-
 class _Clips:
     """Stretches of a text by their places in it."""
 
@@ -412,11 +425,118 @@ def _compared(stars: DataFrame, clips: DataFrame, k: int, span: int, gap: int =
     return both.mapInPandas(run, _COMPARED)
 
 
-def fuzzy_passages(texts: DataFrame, seeds: DataFrame, k: int = K, span: int = SPAN, gap: int = GAP) -> DataFrame:
-    """(ca, cb, a0, a1, b0, b1, same, exact): passages that a text shares with the least text of its seeds, gaps of up to
-    ``gap`` characters aligned. Only the stretches around seeds are shuffled, not the texts. An exact stretch of ``span``
-    always has a seed, shorter ones mostly, but under ``k`` never: passages of such alone aren't found."""
-    return _compared(seed_stars(seeds), clipped(texts, seeds, k, span, gap), k, span, gap)
+def _repeats(t: str) -> bool:
+    """Whether ``t`` is one pattern of up to half its length over and over."""
+    return any(t[n:] == t[:-n] for n in range(1, len(t) // 2 + 1))
+
+
+def _links(texts: DataFrame, edges: DataFrame, half: int, span: int, gap: int) -> DataFrame:
+    """(x, y, c, p, q, laps, left, right): places p, q in a text of the last window of one exact stretch and the first of
+    another up to ``gap`` characters on, named by two hashes, that more than one class has; how much the stretches lap in
+    any of its texts, and the text before p, turned round, and after the window at q, as far as is needed."""
+    places = edges.groupBy("c").agg(F.collect_list(F.struct("p", "w", "w2", "ends", "begins")).alias("m"))  # as many as one text has
+    reach = half + gap
+    names = ["w", "w2", "v", "v2"]
+
+    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for c, text, m in zip(b["c"], b["text"], b["m"], strict=True):
+                m = sorted((i["p"], i["w"], i["w2"], i["ends"], i["begins"]) for i in m)
+                at = np.array([i[0] for i in m], dtype=np.int64)
+                w, w2 = (np.array([i[j] for i in m], dtype=np.int64) for j in (1, 2))
+                last = np.flatnonzero([i[3] for i in m])
+                first = np.flatnonzero([i[4] for i in m])
+                dull = np.array([_repeats(text[p : p + half]) for p in at.tolist()], dtype=bool)
+                before = np.concatenate([[0], np.cumsum(dull)])
+                # lapping by more than gap + span adds nothing: one of the two is a span then and holds the other
+                lo = np.searchsorted(at[first], at[last] + half - gap - span)
+                hi = np.searchsorted(at[first], at[last] + reach, side="right")
+                for s in range(0, len(last), 1000):
+                    n = (hi - lo)[s : s + 1000]
+                    i = np.repeat(last[s : s + 1000], n)
+                    j = first[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[s : s + 1000], n)]
+                    both = dull[i] & dull[j]
+                    keep = (at[j] - at[i] >= half) | ~both & (before[np.maximum(i + 1, j)] == before[j])
+                    i, j, both = i[keep], j[keep], both[keep]
+                    x = pd.DataFrame({"w": w[i], "w2": w2[i], "v": w[j], "v2": w2[j], "c": np.full(len(i), c, dtype=np.int64), "p": at[i].astype(np.int32), "q": at[j].astype(np.int32)})
+                    if both.any():  # what one p covers with the farthest q, it covers with all
+                        far = x.q == x.groupby([*names, "p"]).q.transform("max")
+                        near = x.p == x.groupby([*names, "q"]).p.transform("min")
+                        x = x[~both | far | near]
+                    yield x
+
+    made = bit_filtered(texts, "c", edges, "c").join(places, "c").dropDuplicates(["c"]).mapInPandas(pairs, "w long, w2 long, v long, v2 long, c long, p int, q int")
+    made = cut(made.select(F.xxhash64(*names).alias("x"), F.xxhash64(F.lit("again"), *names).alias("y"), "c", "p", "q"))
+    d = F.col("q") - F.col("p")
+    groups = made.groupBy("x", "y").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min(d).alias("d0"), F.max(d).alias("d1"), F.collect_set(F.when(d < half, half - d)).alias("laps"))
+    # where all lap alike it is one stretch
+    groups = groups.where(f"lo <> hi AND (d1 >= {half} OR d0 <> d1)").select("x", "y", "laps")
+    each = cut(made.join(groups, ["x", "y"]))
+    by_text = each.groupBy("c").agg(F.collect_list(F.struct("x", "y", "p", "q", "laps")).alias("m"))  # as many as one text has
+
+    def around(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for c, text, m in zip(b["c"], b["text"], b["m"], strict=True):
+                for s in range(0, len(m), 5000):
+                    rows = []
+                    for i in m[s : s + 5000]:
+                        p, end, far = i["p"], i["q"] + half, max([half, *i["laps"]])
+                        rows.append((i["x"], i["y"], c, p, i["q"], i["laps"], text[max(0, p - far) : p][::-1], text[end : end + far]))
+                    yield pd.DataFrame(rows, columns=["x", "y", "c", "p", "q", "laps", "left", "right"])
+
+    return bit_filtered(texts, "c", each, "c").join(by_text, "c").dropDuplicates(["c"]).mapInPandas(around, "x long, y long, c long, p int, q int, laps array<int>, left string, right string")
+
+
+def _reached(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with l and r: how far ``left`` and ``right`` go on as in any row of the same keys and another class. Only
+    rows that have such. In order, the row that has most in common is the nearest of another class, before or after."""
+    kept = rows.columns
+    for side in ("left", "right"):
+        for turn in ("asc", "desc"):
+            by = Window.partitionBy(*keys).orderBy(getattr(F.col(side), turn)(), getattr(F.col("c"), turn)())
+            rows = rows.withColumn("_new", F.when(F.lag("c").over(by) != F.col("c"), F.lag(side).over(by)))
+            rows = rows.withColumn(f"{side}_{turn}", F.last("_new", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = b[kept].copy()
+            for name, side in (("l", "left"), ("r", "right")):
+                out[name] = np.array([max(_together(t, o) if isinstance(o, str) else 0 for o in (u, v)) for t, u, v in zip(b[side], b[f"{side}_asc"], b[f"{side}_desc"], strict=True)], dtype=np.int32)
+            yield out
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in kept)
+    return rows.where("left_asc IS NOT NULL OR left_desc IS NOT NULL").mapInPandas(run, f"{kinds}, l int, r int")
+
+
+def _trimmed(links: DataFrame, half: int, gap: int) -> DataFrame:
+    """Rows of ``links`` whose stretches lap in some text, once for each way to shorten the two by ``o`` together so that
+    they don't: by t before p and by o - t after q, which must then be the same in both texts."""
+    names = ["x", "y", "o", "t", "kl", "kr", "c", "p", "q", "left", "right"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows: list[tuple] = []
+            for x, y, c, p, q, laps, left, right, far_l, far_r in b[["x", "y", "c", "p", "q", "laps", "left", "right", "l", "r"]].itertuples(index=False):
+                for o in (0, *laps):
+                    if 0 <= q - p - half + o <= gap:
+                        rows += [(x, y, o, t, left[:t], right[: o - t], c, p, q, left[:half], right[:half]) for t in range(max(0, o - far_r), min(o, far_l) + 1)]
+                if len(rows) > 20_000:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows = []
+            yield pd.DataFrame(rows, columns=names)
+
+    return links.mapInPandas(run, "x long, y long, o int, t int, kl string, kr string, c long, p int, q int, left string, right string")
+
+
+def fuzzy_ranges(texts: DataFrame, span: int = SPAN, gap: int = GAP) -> DataFrame:
+    """(c, s, e): what two exact stretches of half a span or more each cover, with the gap between them, wherever any other
+    text has the two in the same order and neither text more than ``gap`` characters between. Stretches that lap in a text
+    are shortened, but not where both meet in a repeated pattern, such as a ruled line. Of a stretch of a span or more only half a span beyond its end: it stands word for word elsewhere."""
+    half = (span + 1) // 2
+    links = cut(_reached(_links(texts, edge_table(texts, half), half, span, gap), ["x", "y"]))
+    lapped = _reached(_trimmed(links.where("size(laps) > 0"), half, gap), ["x", "y", "o", "t", "kl", "kr"])
+    plain = links.where("size(laps) = 0")
+    return plain.select("c", "p", "q", "l", "r").unionByName(lapped.select("c", "p", "q", "l", "r")).select("c", (F.col("p") - F.least("l", F.lit(half))).alias("s"), (F.col("q") + half + F.least("r", F.lit(half))).alias("e"))
 
 
 def _covered(ranges: DataFrame, name: str) -> DataFrame:
@@ -431,18 +551,16 @@ def _covered(ranges: DataFrame, name: str) -> DataFrame:
 def shared_amount(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K, span: int = SPAN) -> DataFrame:
     """(doc_id, n_chars, copies, passages, verbatim_chars, verbatim, fuzzy_chars, fuzzy): for each document how many copies
     it has besides itself, how many stretches of it stand word for word in other texts, how many characters these are and
-    what share of the text; and the same of what fuzzy passages cover (with the text that is least by hash among those
-    that share a seed). A document with a copy stands elsewhere as a whole. NULL texts have n_chars NULL and share
-    nothing, as do texts shorter than ``span``."""
+    what share of the text; and the same of what fuzzy passages cover, shared with any other text (``fuzzy_ranges``). A
+    document with a copy stands elsewhere as a whole. NULL texts have n_chars NULL and share nothing, as do texts shorter
+    than ``span``."""
     _check(k, span)
     texts = _named(docs, doc_id, text, span)
     seeds = seed_table(texts, k, span)
     windows = window_table(texts, seeds, k, span)
     exact = _covered(windows.select("c", F.col("p").alias("s"), (F.col("p") + span).alias("e")), "v")
-    passages = cut(fuzzy_passages(texts, seeds, k, span))
-    sides = passages.select(F.col("ca").alias("c"), F.col("a0").alias("s"), F.col("a1").alias("e")).unionByName(passages.select(F.col("cb").alias("c"), F.col("b0").alias("s"), F.col("b1").alias("e")))
     # what is shared word for word is part of the fuzzy passages too
-    sides = sides.unionByName(windows.select("c", F.col("p").alias("s"), (F.col("p") + span).alias("e")))
+    sides = fuzzy_ranges(texts, span).unionByName(windows.select("c", F.col("p").alias("s"), (F.col("p") + span).alias("e")))
     loose = _covered(sides, "f")
     t = F.col(f"`{text}`")
     members = classes(docs, doc_id, text, span).select("doc_id", "c").distinct()

@@ -87,3 +87,39 @@ def test_odd_rows(spark):
     assert got[3].n_chars is None and got[3].verbatim_chars in (0, None) and got[4].verbatim == 0.0
     none = df.where("false")
     assert spans.sharing_documents(none).count() == spans.shared_amount(none).count() == spans.sharing_classes(none).count() == 0
+
+
+def fuzzily_covered(a, others, half=spans.SPAN // 2, gap=spans.GAP):
+    hit = [False] * len(a)
+    for b in others:
+        at = {}
+        for q in range(len(b) - half + 1):
+            at.setdefault(b[q : q + half], []).append(q)
+        same = {p: at[a[p : p + half]] for p in range(len(a) - half + 1) if a[p : p + half] in at}
+        for p in same:
+            for q, p2 in ((q, p2) for q in same[p] for p2 in range(p + half, p + half + gap + 1) if any(0 <= q2 - q - half <= gap for q2 in same.get(p2, ()))):
+                for q2 in (x for x in same[p2] if 0 <= x - q - half <= gap):
+                    s, e = p, p2
+                    while q - p + s - 1 in same.get(s - 1, ()):
+                        s -= 1
+                    while q2 - p2 + e + 1 in same.get(e + 1, ()):
+                        e += 1
+                    hit[s : e + half] = [True] * (e + half - s)
+    return sum(hit)
+
+
+def test_fuzzy_passages_of_all_pairs(spark):
+    one, two = noise(80, 1), noise(80, 2)
+    gaps = ["کگ" * 10, "فق" * 10, "", one[-3:] + two[:4], noise(200, 3), noise(201, 4)]
+    texts = [noise(90, 10) + one + noise(90, 11), noise(90, 12) + two + noise(90, 13)]
+    texts += [noise(40 + k, 20 + k) + one + g + two + noise(50, 30 + k) for k, g in enumerate(gaps)]
+    texts += [noise(30, 40) + "".join(one + noise(9, 41 + k) + two + noise(260, 50 + k) for k in range(3)), two + noise(20, 60) + one]
+    got = {x.doc_id: x.fuzzy_chars for x in spans.shared_amount(docs(spark, texts)).collect()}
+    want = {k: fuzzily_covered(t, texts[:k] + texts[k + 1 :]) for k, t in enumerate(texts)}
+    assert got == want and got[0] == got[1] == 0 and got[2] == 180 and got[8] >= 3 * 169
+
+
+def test_ruled_lines_are_no_square(spark):
+    texts = [noise(90, 10 + k) + "-" * (130 + k) + noise(90, 60 + k) for k in range(40)]
+    got = {x.doc_id: x for x in spans.shared_amount(docs(spark, texts)).collect()}
+    assert all(got[k].fuzzy_chars == got[k].verbatim_chars == covered(t, texts[:k] + texts[k + 1 :]) for k, t in enumerate(texts))
