@@ -202,11 +202,17 @@ def _windows(texts: DataFrame, seeds: DataFrame, k: int, span: int) -> DataFrame
     return got.withColumns({x: F.expr(f"nullif({x}, -1)") for x in ("before", "after")})
 
 
+def _who():
+    """Which classes a group holds, as often as each stands in it: sums, since in an XOR a class that stands twice is none."""
+    h = F.xxhash64("c")
+    return F.struct(F.sum(F.shiftright(h, 32)).alias("a"), F.sum(h.bitwiseAND(0xFFFFFFFF)).alias("b"))
+
+
 def window_table(texts: DataFrame, seeds: DataFrame, k: int = K, span: int = SPAN) -> DataFrame:
     """(w, w2, c, p, lo, who, times): every window of ``span`` characters around a shared seed, by two hashes, that stands
     in more than one class; who: which classes, as often as each has it."""
     windows = cut(_windows(texts, seeds, k, span).drop("before", "after"))
-    several = windows.groupBy("w", "w2").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.bit_xor(F.xxhash64("c")).alias("who"), F.count("*").alias("times")).where("lo <> hi")
+    several = windows.groupBy("w", "w2").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), _who().alias("who"), F.count("*").alias("times")).where("lo <> hi")
     return windows.join(several, ["w", "w2"]).select("w", "w2", "c", "p", "lo", "who", "times")
 
 

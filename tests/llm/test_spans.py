@@ -123,3 +123,12 @@ def test_ruled_lines_are_no_square(spark):
     texts = [noise(90, 10 + k) + "-" * (130 + k) + noise(90, 60 + k) for k in range(40)]
     got = {x.doc_id: x for x in spans.shared_amount(docs(spark, texts)).collect()}
     assert all(got[k].fuzzy_chars == got[k].verbatim_chars == covered(t, texts[:k] + texts[k + 1 :]) for k, t in enumerate(texts))
+
+
+def test_windows_that_stand_twice(spark):
+    # the first window of `core` stands twice in one text, the second twice in another: not the same texts
+    core = noise(121, 7)
+    for k in (2, 3):  # seeds at which the first text is the least class
+        texts = [noise(90, 10 + k) + core + noise(30, 11 + k)]
+        texts += [noise(40, n + k) + x + noise(40, n + 1 + k) + x + noise(9, m + k) for n, m, x in ((12, 3, core[:120]), (14, 4, core[1:]))]
+        assert {tuple(x) for x in spans.sharing_documents(docs(spark, texts)).collect()} == {(0, 1), (0, 2)}
