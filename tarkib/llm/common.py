@@ -26,6 +26,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` for a join by shuffle, whatever size Spark gives it: that size follows the files, not the rows and texts that a
+    function made of them, so that a table of gigabytes may be taken for one to broadcast."""
+    return df.hint("merge")
+
+
 #: A table of bits has so many words of 64 bits: 4 MB, whatever it stands for.
 BIT_WORDS = 1 << 18
 

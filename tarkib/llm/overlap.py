@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, letters, words
+from .common import cut, letters, shuffled, words
 
 #: Least words of a text that may be matched nearly, and the share of letters that may differ.
 WORDS = 6
@@ -238,9 +238,9 @@ def near_keys(left: DataFrame, right: DataFrame) -> DataFrame:
         return F.expr(f"bit_count(s1{x} & ~s1{y}) + bit_count(s2{x} & ~s2{y})")
 
     near_by = (F.abs(F.col("n") - F.col("n2")) <= most) & (F.abs(F.col("at") - F.col("at2")) <= most)
-    met = index.join(probe, "g").where(near_by & (more("", "2") <= most) & (more("2", "") <= most))
+    met = shuffled(index).join(probe, "g").where(near_by & (more("", "2") <= most) & (more("2", "") <= most))
     met = met.select("h", "h2").distinct()
-    pairs = met.join(a.withColumnRenamed("key", "ka"), "h").join(b.select(F.col("h").alias("h2"), F.col("key").alias("kb")), "h2")
+    pairs = met.join(shuffled(a.withColumnRenamed("key", "ka")), "h").join(shuffled(b.select(F.col("h").alias("h2"), F.col("key").alias("kb"))), "h2")
     return pairs.where("ka <> kb").where(near(F.col("ka"), F.col("kb"))).select("ka", "kb")
 
 
@@ -251,12 +251,12 @@ def overlaps(evaluation: DataFrame, training: DataFrame, eval_id: str, eval_text
     no overlap. Work is done on distinct keys; rows are expanded at the end."""
     left, right = cut(keys(evaluation, eval_id, eval_text)), cut(keys(training, train_id, train_text))
     a, b = left.select(F.col("id").alias("a"), "key"), right.select(F.col("id").alias("b"), "key")
-    same = a.join(b, "key").select("a", "b", F.lit(True).alias("exact"))
+    same = shuffled(a).join(b, "key").select("a", "b", F.lit(True).alias("exact"))
     many = F.col("words") >= WORDS
     close = near_keys(left.where(many), right.where(many))
     a = left.where(many).select(F.col("id").alias("a"), F.col("key").alias("ka"))
     b = right.where(many).select(F.col("id").alias("b"), F.col("key").alias("kb"))
-    return same.unionByName(close.join(a, "ka").join(b, "kb").select("a", "b", F.lit(False).alias("exact"))).distinct()
+    return same.unionByName(close.join(shuffled(a), "ka").join(shuffled(b), "kb").select("a", "b", F.lit(False).alias("exact"))).distinct()
 
 
 def report(evaluation: DataFrame, found: DataFrame) -> DataFrame:

@@ -46,6 +46,17 @@ def test_against_brute_force(spark):
     assert overlap.overlaps(a, b.where("false"), "test_id", "urdu", "train_id", "src").count() == 0
 
 
+def test_nothing_is_broadcast_by_a_guessed_size(spark, tmp_path):
+    """The index holds hundreds of rows for each text, of which Spark's size of it knows nothing."""
+    r = random.Random(3)
+    texts = [" ".join(r.choice(WORDS) for _ in range(9)) for _ in range(40)]
+    spark.createDataFrame([*enumerate(texts)], "test_id long, urdu string").write.parquet(f"{tmp_path}/a")
+    spark.createDataFrame([*enumerate(edited(x, r) for x in texts)], "train_id long, src string").write.parquet(f"{tmp_path}/b")
+    a, b = spark.read.parquet(f"{tmp_path}/a"), spark.read.parquet(f"{tmp_path}/b")
+    found = overlap.overlaps(a, b, "test_id", "urdu", "train_id", "src")
+    assert found.count() >= 10 and "Broadcast" not in found._jdf.queryExecution().sparkPlan().toString()
+
+
 def test_sketches_never_part_near_keys():
     r = random.Random(2)
     for _ in range(3000):
