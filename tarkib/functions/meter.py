@@ -8,7 +8,9 @@ from __future__ import annotations
 import itertools
 import math
 import re
+from os.path import commonprefix
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -88,6 +90,78 @@ def compatible(a: list[str], b: list[str]) -> bool:
     return False
 
 
+def coded(weights: Column) -> Column:
+    """The weights as a text of one letter each, "o" for either."""
+    return F.array_join(F.transform(weights, lambda w: F.when(w == "-u", F.lit("o")).otherwise(w)), "")
+
+
+def _bits(places: np.ndarray, words: int) -> np.ndarray:
+    """A row of bits for each row of truth values, in words of 64."""
+    out = np.zeros((len(places), words * 64), dtype=bool)
+    out[:, : places.shape[1]] = places
+    return np.packbits(out, axis=1, bitorder="little").view("<u8").astype(np.uint64, copy=False)
+
+
+def fitting(a: list[str], b: list[str], n: np.ndarray) -> np.ndarray:
+    """For each line of ``a`` the sum of ``n`` over the lines of ``b`` that are ``compatible``; lines are ``coded``. All
+    lines of b are gone through at once: bit j of a line's state tells that its first j weights can be what was read of
+    the line of a. Lines of a come in order, so that what they begin with alike is read once; lines of b are dropped once
+    nothing can be read, and those of other lengths before."""
+    out = np.zeros(len(a), dtype=np.int64)
+    n = np.asarray(n, dtype=np.int64)
+    most = np.array([len(x) for x in b], dtype=np.int64)
+    least = most - np.array([x.count("x") for x in b], dtype=np.int64)
+
+    def syllables_of(i: int) -> int:
+        return len(a[i]) - a[i].count("x")
+
+    order = sorted(range(len(a)), key=lambda i: (syllables_of(i), a[i]))
+    for words in np.unique(most // 64 + 1).tolist():
+        part = np.flatnonzero(most // 64 + 1 == words)
+        width = max(1, int(most[part].max()))
+        letter = np.array([b[i].encode() for i in part], dtype=f"S{width}").view(np.uint8).reshape(len(part), width)
+        long_, short, either, loose = (letter == ord(c) for c in "-uox")
+        may = {"-": _bits(long_ | either, words), "u": _bits(short | either | loose, words), "o": _bits(letter != 0, words), "x": _bits(short | either | loose, words)}
+        skipped, end = _bits(loose, words), _bits(np.arange(width + 1) == most[part][:, None], words)
+        runs = max((len(r) for i in part.tolist() for r in re.findall("x+", b[i])), default=0)
+
+        def on(s: np.ndarray, words: int = words) -> np.ndarray:
+            moved = s << np.uint64(1)
+            if words > 1:
+                moved[:, 1:] |= s[:, :-1] >> np.uint64(63)
+            return moved
+
+        def closed(s: np.ndarray, at: np.ndarray, skipped: np.ndarray = skipped, runs: int = runs) -> np.ndarray:
+            loose_ = skipped.take(at, axis=0) if runs else skipped
+            for _ in range(runs):
+                s |= on(s & loose_)
+            return s
+
+        def true(s: np.ndarray, words: int = words) -> np.ndarray:
+            return np.flatnonzero(s[:, 0] if words == 1 else s.any(axis=1))
+
+        for syllables_, group in itertools.groupby(order, key=syllables_of):
+            lines = list(group)
+            at = np.flatnonzero((most[part] >= syllables_) & (least[part] <= max(len(a[i]) for i in lines)))
+            first = np.zeros((len(at), words), dtype=np.uint64)
+            first[:, 0] = 1
+            stack, before = [(at, closed(first, at))], ""
+            for i in lines:
+                same = len(commonprefix([before, a[i]]))
+                del stack[same + 1 :]
+                for c in a[i][same:]:
+                    at, s = stack[-1]
+                    moved = closed(on(s & may[c].take(at, axis=0)), at)
+                    if c == "x":
+                        moved |= s
+                    alive = true(moved)
+                    stack.append((at.take(alive), moved.take(alive, axis=0)))
+                at, s = stack[-1]
+                out[i] += n[part[at.take(true(s & end.take(at, axis=0)))]].sum()
+                before = a[i]
+    return out
+
+
 def pattern(weights: Column) -> Column:
     """The weights as a regular expression that the fitting meters match."""
     parts = F.transform(weights, lambda w: F.when(w == "-u", F.lit("[-u]")).when(w == "x", F.lit("u?")).otherwise(w))
@@ -108,11 +182,6 @@ def line_weights(s: pd.Series) -> pd.Series:
     return pd.Series([syllables(x) if isinstance(x, str) else None for x in s], dtype=object)
 
 
-@F.pandas_udf(T.BooleanType())
-def share_a_meter(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([x is not None and y is not None and compatible(list(x), list(y)) for x, y in zip(a, b, strict=True)], dtype=bool)
-
-
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def meters(w: pd.Series) -> pd.Series:
     return pd.Series([readings(list(x)) if x is not None else None for x in w], dtype=object)

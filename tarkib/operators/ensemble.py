@@ -74,16 +74,37 @@ def chosen(teacher: DataFrame, candidates: DataFrame, key: str, prior: float = 0
 
 
 # --- meter ----------------------------------------------------------------------------------------
+#: A task compares at most about so many of a poem's kinds of lines with so many others; the results don't depend on it.
+COMPARED, AMONG = 1 << 12, 1 << 16
+
+
 def meter_support(lines: DataFrame, poem: Sequence[str], line: str, rich: str) -> DataFrame:
     """(poem..., line, support, others): with how many of the poem's other lines each can share a meter. Lines with one
-    scansion are compared once, so repeated lines cost nothing."""
-    scanned = lines.select(*poem, line, meter.line_weights(F.col(rich)).alias("w")).where(F.size("w") > 0).withColumn("k", F.array_join("w", " "))
-    kinds = scanned.groupBy(*poem, "k").agg(F.first("w").alias("w"), F.count("*").alias("n"))
-    other = kinds.select(*poem, F.col("k").alias("k2"), F.col("w").alias("w2"), F.col("n").alias("n2"))
-    fits = kinds.join(other, list(poem)).where(meter.share_a_meter("w", "w2"))
-    total = fits.groupBy(*poem, "k").agg((F.sum("n2") - 1).alias("support"))  # itself left out
-    size = scanned.groupBy(*poem).agg((F.count("*") - 1).alias("others"))
-    return scanned.select(*poem, line, "k").join(total, [*poem, "k"]).join(size, list(poem)).select(*poem, line, "support", "others")
+    scansion are compared once, so repeated lines cost nothing. A long poem is dealt to tasks in blocks of kinds, each
+    compared at once with a block of others."""
+    spark = lines.sparkSession
+    scanned = lines.select(*poem, line, meter.line_weights(F.col(rich)).alias("w")).where(F.size("w") > 0).select(*poem, line, meter.coded(F.col("w")).alias("k"))
+    kinds = scanned.groupBy(*poem, "k").agg(F.count("*").alias("n"))
+    size = kinds.groupBy(*poem).agg((F.sum("n") - 1).alias("others"), F.ceil(F.count("*") / COMPARED).alias("_of"), F.ceil(F.count("*") / AMONG).alias("_among"))
+    dealt = kinds.join(size, list(poem))
+    block, tasks = [*poem, "_a", "_b"], 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def each(blocks: str) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1))
+
+    def own(blocks: str) -> Column:
+        return F.pmod(F.xxhash64("k"), F.col(blocks))
+
+    a = dealt.select(*poem, "k", own("_of").alias("_a"), each("_among").alias("_b"))
+    b = dealt.select(*[F.col(p).alias(p) for p in poem], F.col("k").alias("k"), "n", own("_among").alias("_b"), each("_of").alias("_a"))
+
+    def compare(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        return x[[*poem, "k"]].assign(support=meter.fitting(x["k"].tolist(), y["k"].tolist(), y["n"].to_numpy()))
+
+    fits = a.repartition(tasks, *block).groupBy(*block).cogroup(b.repartition(tasks, *block).groupBy(*block))
+    kind = T.StructType([*(kinds.schema[p] for p in poem), T.StructField("k", T.StringType()), T.StructField("support", T.LongType())])
+    total = fits.applyInPandas(compare, kind).groupBy(*poem, "k").agg((F.sum("support") - 1).alias("support"))  # itself left out
+    return scanned.join(total, [*poem, "k"]).join(size, list(poem)).select(*poem, line, "support", "others")
 
 
 #: Share of the other lines below which a line is doubted, most loss of likelihood, least gain of lines.

@@ -5,6 +5,7 @@ import re
 import sys
 import unicodedata
 
+import numpy as np
 import pytest
 
 from tarkib.functions import candidates, chars, letters, lining, meter, metrics, roman, runs
@@ -96,6 +97,40 @@ def test_meter():
     assert "संग-ए-दिल" in ensemble.izafat_toggles("سنگ دل", "संग दिल") and meter.readings(["-u"] * 13) == []
 
 
+def test_lines_fitted_all_at_once():
+    r = random.Random(5)
+    for t in range(60):
+        def line(r=r, t=t):
+            return "".join(r.choice("-uoxx" if t % 2 else "-uuo-ox") for _ in range(r.choice([0, 1, 3, 6, 7, 63, 64, 65, 130]) if t % 10 == 0 else r.randrange(0, 9)))
+
+        a, b = [line() for _ in range(r.randrange(0, 25))], [line() for _ in range(r.randrange(0, 25))]
+        n = np.array([r.randrange(1, 5) for _ in b], dtype=np.int64)
+        x, y = ([["-u" if c == "o" else c for c in s] for s in side] for side in (a, b))
+        assert meter.fitting(a, b, n).tolist() == [sum(int(m) for w, m in zip(y, n, strict=True) if meter.compatible(v, w)) for v in x]
+
+
+def test_meter_support_of_a_long_poem(spark, monkeypatch):
+    """2,500 lines of one poem, which were 6 million pairs in Python before, in one block and in several."""
+    r = random.Random(6)
+    words = ["dil", "nādā~", "tujhe", "huā", "kyā", "hai", "dard", "kī", "davā", "ham", "muśtāq", "aur", "vo", "be-zār", "ye", "mājrā", "zabān", "haṅgāma", "xudā", "abr", "cīz"]
+    rows = [("a", i, " ".join(r.choice(words) for _ in range(r.randrange(3, 8)))) for i in range(2500)]
+    rows += [("b", 3000 + i, x) for i, x in enumerate([rows[0][2], rows[0][2], rows[1][2], "", None])] + [(None, 4000, rows[0][2])]
+    df = spark.createDataFrame(rows, "poem string, line long, rich string")
+    found = ensemble.meter_support(df, ["poem"], "line", "rich")
+    assert "share_a_meter" not in found._jdf.queryExecution().analyzed().toString()
+    got = {x.line: (x.poem, x.support, x.others) for x in found.collect()}
+    assert found.dtypes == [("poem", "string"), ("line", "bigint"), ("support", "bigint"), ("others", "bigint")]
+    scanned = {i: (p, meter.syllables(x)) for p, i, x in rows if p and x}
+    assert got.keys() == scanned.keys()
+    for i in [*range(12), *range(3000, 3003)]:
+        poem, w = scanned[i]
+        others = [v for j, (p, v) in scanned.items() if p == poem and j != i]
+        assert got[i] == (poem, sum(meter.compatible(w, v) for v in others), len(others))
+    monkeypatch.setattr(ensemble, "COMPARED", 700)
+    monkeypatch.setattr(ensemble, "AMONG", 900)
+    assert {x.line: (x.poem, x.support, x.others) for x in ensemble.meter_support(df, ["poem"], "line", "rich").collect()} == got
+
+
 def test_measures_against_brute_force():
     r = random.Random(1)
     for _ in range(400):
